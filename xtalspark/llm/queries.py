@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import licenses, quality, shards
 from .common import table
 
 
@@ -50,5 +50,71 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from m
 """
 
-QUERIES = {"op6_quality_rules": op6_quality_rules}
-ORACLES = {"op6_quality_rules": _OP6}
+
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    h = F.col("license_hits")
+    return found.select(
+        "doc_id",
+        F.array_join(F.transform(h, lambda x: x["license"]), ",").alias("licenses"),
+        F.size(h).cast("long").alias("n_licenses"),
+        F.coalesce(F.array_max(F.transform(h, lambda x: x["dice"])), F.lit(0.0)).alias("best_dice"),
+    )
+
+
+def _op7_sql() -> str:
+    rows = ", ".join("('{}', [{}])".format(k, ", ".join(f"'{g}'" for g in licenses.bigrams(t))) for k, t in sorted(licenses.TEMPLATES.items()))
+    t = licenses.THRESHOLD
+    return rf"""
+with t(license, g) as (values {rows}),
+d as (select doc_id, lower(coalesce(text, '')) as x from documents),
+u as (
+  select distinct doc_id, trim(regexp_replace(unit, '[^a-z0-9]+', ' ', 'g')) as unit from (
+    select doc_id, unnest(string_split(x, chr(10))) as unit from d
+    union all select doc_id, p from (select doc_id, unnest(string_split_regex(x, '\n[ \t\r]*\n')) as p from d) where contains(p, chr(10))
+    union all select doc_id, x from d where contains(x, chr(10)))),
+w as (select doc_id, unit, string_split(unit, ' ') as w from u),
+b as (select doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as b from w where len(w) > 1),
+s as (select doc_id, license, 2.0::double * len(list_intersect(g, b)) / (len(g) + len(b)) as dice from b join t on len(b) between len(g) * {t / (2 - t)} and len(g) * {(2 - t) / t}),
+h as (select doc_id, license, max(dice) as dice from s where dice >= {t} group by all),
+a as (select doc_id, string_agg(license, ',' order by license) as licenses, count(*) as n, max(dice) as dice from h group by doc_id)
+select d.doc_id, coalesce(licenses, '') as licenses, coalesce(n, 0)::bigint as n_licenses, coalesce(dice, 0.0)::double as best_dice from d left join a on d.doc_id = a.doc_id
+"""
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    slim = docs.select("doc_id", "source", size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
+    return shards.interleave(slim, 8).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+def _crc_table() -> list[int]:
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return out
+
+
+_OP3 = f"""
+with h as (
+  select doc_id, source, coalesce(text, '') as text, md5('17:' || coalesce(doc_id::varchar, '')) as h,
+    ('0x' || md5('17/' || coalesce(source, ''))[1:13])::bigint / 4503599627370496.0::double as u from documents),
+r as (select *, (row_number() over (partition by source order by h, doc_id) - 1 + u) / count(*) over (partition by source) as pl from h),
+g as (select *, row_number() over (order by pl, source, h, doc_id) - 1 as g, count(*) over () as n from r),
+s as (select *, g * 8 // n as shard from g),
+bytes as (select doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::bigint) as b from h)
+select s.doc_id, (strlen(text) + 1)::bigint as size,
+  xor(list_reduce(b, lambda a, x: xor(a >> 8, ({_crc_table()}::bigint[])[xor(a & 255, x) + 1]), 4294967295::bigint), 4294967295::bigint)::bigint as text_crc32,
+  'rows' as law, shard::int as shard, (g - (shard * n + 7) // 8)::bigint as slot, null::int as grown_shard, source
+from s join bytes on s.doc_id = bytes.doc_id
+"""
+
+QUERIES = {
+    "op3_sharding": op3_sharding,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_license_scans": op7_license_scans,
+}
+ORACLES = {"op3_sharding": _OP3, "op6_quality_rules": _OP6, "op7_license_scans": _op7_sql()}
