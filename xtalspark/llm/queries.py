@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, quality, shards
+from . import licenses, pieces, quality, shards, token_counts
 from .common import table
 
 
@@ -112,9 +112,32 @@ select s.doc_id, (strlen(text) + 1)::bigint as size,
 from s join bytes on s.doc_id = bytes.doc_id
 """
 
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encode(docs, vocabulary("piece_bpe_32k.model"), check=True)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return coded.select("doc_id", size.alias("n_bytes"), F.size("ids").cast("long").alias("n_tokens"), F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32"), "round_trip", "ids")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.count_tokens(docs, vocabulary("byte_bpe_50k.json"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return counted.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_sharding": op3_sharding,
     "op6_quality_rules": op6_quality_rules,
     "op7_license_scans": op7_license_scans,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLES = {"op3_sharding": _OP3, "op6_quality_rules": _OP6, "op7_license_scans": _op7_sql()}

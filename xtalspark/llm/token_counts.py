@@ -275,7 +275,9 @@ class Counter:
                 known[p] = self.pieces.tokens_of(p.encode("utf-8", "replace"))
         n = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
         n[np.isin(at, ends, assume_unique=True)] = 0  # the ends themselves
-        np.add.at(own, np.repeat(of, np.diff(np.searchsorted(at, np.append(0, ends + 1)))), n)
+        sums = np.append(0, np.cumsum(n))
+        cuts = np.searchsorted(at, np.append(0, ends + 1))
+        np.add.at(own, of, sums[cuts[1:]] - sums[cuts[:-1]])
         return own
 
 
