@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, pieces, quality, shards, token_counts
+from . import decontaminate, licenses, pieces, quality, shards, token_counts
 from .common import table
 
 
@@ -126,6 +126,30 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", size.alias("n_bytes"), F.size("ids").cast("long").alias("n_tokens"), F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32"), "round_trip", "ids")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    r = decontaminate.report(docs, table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return r.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_WORDS4 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OP4 = f"""
+with d as (select doc_id, {_WORDS4} as w from documents),
+b as (select item_id, {_WORDS4} as w from benchmark),
+n as (select item_id, w, least(len(w), 10) as n from b where len(w) > 0),
+g as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as g from (select *, unnest(range(1, len(w) - n + 2)) as i from n)),
+s as (select distinct n from n),
+x as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, s where len(w) >= n)),
+h as (select doc_id, item_id, i, x.n from x join g on x.n = g.n and x.g = g.g),
+c as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + n)) as j from h) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(k, ',' order by k) as items from (select distinct doc_id, item_id::varchar as k from h) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join c on d.doc_id = c.doc_id left join t on d.doc_id = t.doc_id
+"""
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, vocabulary("byte_bpe_50k.json"))
@@ -136,8 +160,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_sharding": op3_sharding,
+    "op4_decontamination": op4_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_license_scans": op7_license_scans,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES = {"op3_sharding": _OP3, "op6_quality_rules": _OP6, "op7_license_scans": _op7_sql()}
+ORACLES = {"op3_sharding": _OP3, "op4_decontamination": _OP4, "op6_quality_rules": _OP6, "op7_license_scans": _op7_sql()}
