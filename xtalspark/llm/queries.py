@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, pieces, quality, shards, token_counts
+from . import decontaminate, licenses, pieces, quality, shards, token_counts, warc
 from .common import table
 
 
@@ -150,6 +150,21 @@ from d left join c on d.doc_id = c.doc_id left join t on d.doc_id = t.doc_id
 """
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return records.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
+_B32 = " || ".join(
+    f"'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || d[{i + 1}:{i + 10}])::bigint >> {35 - 5 * k}) & 31)::int + 1]" for i in range(0, 40, 10) for k in range(8)
+)
+_OP8 = f"""
+with p as (select page_id, sha1(coalesce(html, '')) as d, strlen(coalesce(html, ''))::bigint as n, max(page_id) over (partition by coalesce(html, '')) as top from pages)
+select page_id, n as payload_bytes, {_B32} as payload_digest, case when page_id = top then 'response' else 'revisit' end as record_type,
+  case when page_id <> top then top end as refers_to from p
+"""
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, vocabulary("byte_bpe_50k.json"))
@@ -163,6 +178,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_license_scans": op7_license_scans,
+    "op8_warc": op8_warc,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES = {"op3_sharding": _OP3, "op4_decontamination": _OP4, "op6_quality_rules": _OP6, "op7_license_scans": _op7_sql()}
+ORACLES = {"op3_sharding": _OP3, "op4_decontamination": _OP4, "op6_quality_rules": _OP6, "op7_license_scans": _op7_sql(), "op8_warc": _OP8}
