@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, pieces, quality, shards, token_counts, warc
+from . import decontaminate, languages, licenses, pieces, quality, shards, token_counts, warc
 from .common import table
 
 
@@ -133,6 +133,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identify(table(spark, sf_dir, "pages"), languages.fit(table(spark, sf_dir, "documents")))
+
+
 _WORDS4 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _OP4 = f"""
 with d as (select doc_id, {_WORDS4} as w from documents),
@@ -176,6 +180,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_sharding": op3_sharding,
     "op4_decontamination": op4_decontamination,
+    "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op7_license_scans": op7_license_scans,
     "op8_warc": op8_warc,
