@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, languages, licenses, pieces, quality, shards, token_counts, warc
+from . import decontaminate, languages, licenses, near_duplicates, pieces, quality, shards, token_counts, warc
 from .common import table
 
 
@@ -169,6 +169,10 @@ select page_id, n as payload_bytes, {_B32} as payload_digest, case when page_id
 """
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, vocabulary("byte_bpe_50k.json"))
@@ -184,6 +188,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_license_scans": op7_license_scans,
     "op8_warc": op8_warc,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES = {"op3_sharding": _OP3, "op4_decontamination": _OP4, "op6_quality_rules": _OP6, "op7_license_scans": _op7_sql(), "op8_warc": _OP8}
