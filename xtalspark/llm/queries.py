@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, languages, licenses, near_duplicates, pieces, quality, shards, token_counts, warc
+from . import decontaminate, languages, licenses, near_duplicates, pieces, quality, shards, suffix_dedup, token_counts, warc
 from .common import table
 
 
@@ -169,6 +169,10 @@ select page_id, n as payload_bytes, {_B32} as payload_digest, case when page_id
 """
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents")).drop("runs")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(table(spark, sf_dir, "documents"))
 
@@ -181,6 +185,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_sharding": op3_sharding,
     "op4_decontamination": op4_decontamination,
