@@ -139,33 +139,35 @@ def _blocks(benchmark: DataFrame, text: str) -> Iterator[list[str]]:
         yield [r[0] for r in part.select("t").filter(F.col("t").isNotNull()).distinct().toLocalIterator()]
 
 
-def find_windows(df: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
+def find_windows(df: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", n_words: str = "n_words", hits: str = "hits") -> DataFrame:
     """Append n_words (long) and hits, an array of (first, n, window), to df's rows:
     the windows of benchmark texts that occur in the text, at each place.
+    Columns of df with these names are replaced.
     """
     spark = df.sparkSession
-    own = df.drop("n_words", "hits", "__more")
-    out = own
+    out = df.drop(n_words, hits)
+    kept = out.columns
+    parts = []
     for i, texts in enumerate(_blocks(benchmark, item_text)):
         block = spark.sparkContext.broadcast(Block([words_of(t) for t in texts]))
-        fields = [f for f in out.schema.fields if f.name != "n_words"] + [T.StructField("n_words", T.LongType()), T.StructField(f"__hits{i}", _HITS)]
-        schema = T.StructType(fields)
+        names = [n_words] * (not i) + [f"{hits}:{i}"]
+        kinds = [T.LongType()] * (not i) + [_HITS]
+        schema = T.StructType([*out.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds))])
 
-        def run(batches: Iterator[pa.RecordBatch], block=block, name=f"__hits{i}", schema=schema) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], block=block, names=names) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-                counts, hits = [], []
-                for t in texts:
+                counts, found = [], []
+                for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
                     words = words_of(t)
                     counts.append(len(words))
-                    hits.append([{"first": a, "n": n, "window": d} for a, n, d in block.value.find(words)])
-                kept = [c for c in batch.schema.names if c != "n_words"]
-                arrays = [*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("window", pa.binary())])))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "n_words", name])
+                    found.append([{"first": a, "n": n, "window": d} for a, n, d in block.value.find(words)])
+                lists = pa.array(found, pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("window", pa.binary())])))
+                arrays = [*batch.columns] + [pa.array(counts, pa.int64())] * (len(names) > 1) + [lists]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *names])
 
         out = out.mapInArrow(run, schema)
-    names = [c for c in out.columns if c.startswith("__hits")]
-    return out.withColumn("hits", F.concat(*names)).drop(*names)
+        parts.append(f"`{hits}:{i}`")
+    return out.select(*(f"`{c}`" for c in kept), f"`{n_words}`", F.concat(*parts).alias(hits))
 
 
 def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
@@ -221,6 +223,6 @@ def report(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", share: float = 0.0) -> DataFrame:
     """df's rows whose hit words are at most `share` of their words."""
     cols = df.columns
-    found = find_windows(df, benchmark, text, item_text)
-    n_hit = F.aggregate(spans(F.col("hits")), F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["first"])
-    return found.filter(n_hit <= share * F.col("n_words")).select(*cols)
+    found = find_windows(df, benchmark, text, item_text, "__n_words", "__hits")
+    n_hit = F.aggregate(spans(F.col("__hits")), F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["first"])
+    return found.filter(n_hit <= share * F.col("__n_words")).select(*(f"`{c}`" for c in cols))

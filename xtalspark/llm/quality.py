@@ -87,11 +87,10 @@ def repeated_words(words: Column) -> Column:
     return let(_window_hashes(words), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h))).cast("long")
 
 
-def measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """Append the struct column `m` of counts to df.
+def measures(df: DataFrame, text: str = "text", out: str = "m") -> DataFrame:
+    """Append the struct column `out` of counts to df.
 
-    Null and empty texts have zero everywhere. Columns of df keep their names;
-    one called m is overwritten only by callers that ask for it here.
+    Null and empty texts have zero everywhere. A column `out` of df is replaced.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     n_symbols = F.length(t) - F.length(F.translate(t, SYMBOLS, ""))
@@ -116,7 +115,7 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
 
     parts = df.select("*", let(words_of(F.col(text)), from_words).alias("__w"), let(lines, from_lines).alias("__l"), n_symbols.cast("long").alias("__s"))
     m = F.struct("__w.*", "__l.*", F.col("__s").alias("n_symbols"))
-    return parts.withColumn("m", m).drop("__w", "__l", "__s")
+    return parts.withColumn(out, m).drop("__w", "__l", "__s")
 
 
 def ratios(m: Column) -> dict[str, Column]:
@@ -150,7 +149,8 @@ def verdict(m: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def score(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """Append m (counts), kept and failed_rules; every row of df stays."""
+    """Append m (counts), failed_rules and kept, replacing such columns; every row
+    of df stays, in repeats too. Null and empty texts break the word count rule."""
     kept, names = verdict(F.col("m"), rules)
     return measures(df, text).withColumn("failed_rules", names).withColumn("kept", kept)
 
@@ -158,8 +158,8 @@ def score(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
 def keep_good(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of df that pass all rules, with df's own columns."""
     cols = df.columns
-    kept, _ = verdict(F.col("m"), rules)
-    return measures(df, text).filter(kept).select(*cols)
+    kept, _ = verdict(F.col("__m"), rules)
+    return measures(df, text, "__m").filter(kept).select(*cols)
 
 
 def base_failed(m: Column) -> Column:

@@ -392,8 +392,8 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def _cut(docs: DataFrame, key: str, text: str, make) -> DataFrame:
     spans = find_repeats(docs, key, text)
-    joined = docs.join(spans.withColumnRenamed("key", "__k"), F.col(key) == F.col("__k"), "left").drop("__k").withColumnRenamed("spans", "__spans")
-    return make(joined)
+    spans = spans.select(F.col("key").alias("__k"), F.col("spans").alias("__spans"))
+    return make(docs.join(spans, F.col(key) == F.col("__k"), "left").drop("__k"))
 
 
 def removed_runs(n: int, spans) -> list[tuple[int, int]]:
