@@ -219,3 +219,35 @@ def circuit_centres(edges: DataFrame) -> DataFrame:
     w = Window.partitionBy("frame_id", "circuit_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     run = edges.select("frame_id", "circuit_id", "seq", *(F.col(f"s{a}") for a in "xyz"), *(F.sum(f"p{a}").over(w).alias(f"r{a}") for a in "xyz"))
     return run.groupBy("frame_id", "circuit_id").agg(*((F.min_by(f"s{a}", "seq") + F.avg(f"r{a}")).alias(a) for a in "xyz"))
+
+
+def blocked_circuits(circuit_edges: DataFrame, half_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(frame_id, circuit_id, is_blocked) and the pairs (frame_id, a, b) of circuits that
+    meet a blocked one: a circuit is blocked if every opposite edge is on a circuit.
+
+    circuit_edges are (frame_id, circuit_id, face, slot); half_edges have opp_face, opp_slot.
+    """
+    own = circuit_edges.select("frame_id", "circuit_id", "face", "slot")
+    across = own.join(half_edges.select("frame_id", "face", "slot", "opp_face", "opp_slot"), ["frame_id", "face", "slot"])
+    other = own.select("frame_id", F.col("face").alias("opp_face"), F.col("slot").alias("opp_slot"), F.col("circuit_id").alias("other"))
+    met = across.join(other, ["frame_id", "opp_face", "opp_slot"], "left")
+    state = met.groupBy("frame_id", "circuit_id").agg(F.bool_and(F.col("other").isNotNull() & (F.col("other") != F.col("circuit_id"))).alias("is_blocked"))
+    pairs = met.join(state.filter("is_blocked"), ["frame_id", "circuit_id"]).select("frame_id", F.col("circuit_id").alias("a"), F.col("other").alias("b")).distinct()
+    return state, pairs
+
+
+def to_cluster(vectors: DataFrame, transitions: DataFrame, target: str = "target") -> DataFrame:
+    """Vectors (.., bx, by, bz, cluster_id) in the frame of the cluster in the column
+    target; nulls where no transition leads there."""
+    t = transitions.select("frame_id", F.col("c1").alias("cluster_id"), F.col("c2").alias(target), F.col("tm").alias("__tm"))
+    j = vectors.join(t, ["frame_id", "cluster_id", target], "left")
+    turned = la.matvec(la.mat("__tm"), (F.col("bx"), F.col("by"), F.col("bz")))
+    same = F.col("cluster_id") == F.col(target)
+    new = [F.when(same, F.col(n)).otherwise(x).alias(n) for n, x in zip(("bx", "by", "bz"), turned)]
+    rest = [c for c in vectors.columns if c not in ("bx", "by", "bz", "cluster_id", target)]
+    return j.select(*rest, F.col(target).alias("cluster_id"), *new)
+
+
+def discard_segments(segments: DataFrame, gone: DataFrame) -> DataFrame:
+    """Segments without those of (frame_id, segment_id)."""
+    return segments.join(gone, ["frame_id", "segment_id"], "left_anti")

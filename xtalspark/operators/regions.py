@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import burgers as B
+from ..functions import linalg as la
+from . import mesh, tess
 
 
 def structure_counts(atoms: DataFrame) -> DataFrame:
@@ -59,3 +61,32 @@ def core_atoms(atoms: DataFrame) -> DataFrame:
 
 def count_marked(atoms: DataFrame) -> DataFrame:
     return atoms.groupBy("frame_id").agg(F.count_if(F.col("dislocation_id") >= 0).alias("n_core_atoms"))
+
+
+def claim_core_cells(triangles: DataFrame, cells: DataFrame, size: float) -> DataFrame:
+    """(frame_id, cell, segment_id, v0..v3): cells claimed by the first circuit fan that
+    overlaps one of their facets.
+
+    triangles are (frame_id, fan, segment_id, q0, q1, q2), fan in the order of tracing;
+    cells have corners v0..v3 at p0..p3. Boxes that meet come from a grid join of the
+    given size; only those pairs are tested exactly.
+    """
+    t = triangles
+    for a in "xyz":
+        at = [F.col(f"q{i}")[a] for i in range(3)]
+        t = t.withColumn(f"lo_{a}", F.least(*at)).withColumn(f"hi_{a}", F.greatest(*at))
+    t = t.withColumn("triangle", F.struct("fan", "segment_id", "q0", "q1", "q2"))
+    near = tess.box_overlaps(tess.bounding_boxes(cells), t, size, "cell", "triangle")
+    j = near.join(cells.select("frame_id", "cell", *(f"{k}{i}" for k in "vp" for i in range(4))), ["frame_id", "cell"])
+    q = [la.xyz(F.col("triangle")[f"q{i}"]) for i in range(3)]
+    facet = lambda f: mesh.triangles_meet([la.xyz(f"p{i}") for i in f], q)
+    hit = j.filter(la.any_true(facet(f) for f in tess.FACETS))
+    first = hit.groupBy("frame_id", "cell").agg(F.min_by(F.col("triangle")["segment_id"], F.struct(F.col("triangle")["fan"].alias("f"), F.col("triangle")["segment_id"].alias("s"))).alias("segment_id"))
+    return first.join(cells.select("frame_id", "cell", *(f"v{i}" for i in range(4))), ["frame_id", "cell"])
+
+
+def circuit_fans(edges: DataFrame, centres: DataFrame) -> DataFrame:
+    """Triangles of each circuit edge with the circuit's centre: edges (frame_id, fan,
+    segment_id, circuit_id, p, q as structs), centres (frame_id, circuit_id, x, y, z)."""
+    c = centres.select("frame_id", "circuit_id", F.struct("x", "y", "z").alias("q2"))
+    return edges.join(c, ["frame_id", "circuit_id"]).select("frame_id", "fan", "segment_id", F.col("p").alias("q0"), F.col("q").alias("q1"), "q2")
