@@ -66,7 +66,7 @@ def test_traced_lines_go_on_to_the_network(spark):
     kinds = network.line_kinds(seg, nodes)
     r = kinds.first()
     assert r["is_loop"] and r["is_infinite"]
-    smooth = lines.smooth_lines(kinds.select("frame_id", "segment_id", "line", "core_size", "is_loop", "is_infinite"), 1.0, 2.5)
+    smooth = lines.smooth_lines(kinds.select("frame_id", "segment_id", "line", "core_size", "is_loop", "is_infinite"), 1.0, 20.0)
     assert abs(smooth.select(lines.line_length(F.col("line"))).first()[0] - HIGH) < 1e-6
     clusters = spark.createDataFrame([(0, 1, 1, "fcc", None)], "frame_id bigint, cluster_id int, structure int, topology_name string, orientation array<double>")
     moves = spark.createDataFrame([], "frame_id bigint, c1 int, c2 int, tm array<double>, distance int")
