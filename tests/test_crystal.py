@@ -212,12 +212,11 @@ def test_unwrapped_corners_become_new_points(spark):
     assert math.isclose(new["x"], -0.5) and new["of"] == 1 and tuple(facets.first())[2:] == (0, 3, 2)
 
 
-def test_triangles_overlap(spark):
+def test_triangles_overlap():
     base = ((0, 0, 0), (2, 0, 0), (0, 2, 0))
     cases = [(((0.5, 0.5, -1), (0.5, 0.5, 1), (0.6, 0.5, 1)), True), (((3, 3, -1), (3, 3, 1), (4, 3, 1)), False), (((0, 0, 1), (2, 0, 1), (0, 2, 1)), False), (((0.2, 0.2, 0), (0.4, 0.2, 0), (0.2, 0.4, 0)), True), (((5, 5, 0), (6, 5, 0), (5, 6, 0)), False)]
-    vec = lambda p: tuple(F.lit(float(x)) for x in p)
-    df = spark.range(1).select(*(mesh.triangles_meet([vec(p) for p in base], [vec(p) for p in t]).alias(f"c{i}") for i, (t, _) in enumerate(cases)))
-    assert list(df.first()) == [w for _, w in cases]
+    p, q = np.array([base] * len(cases), float), np.array([t for t, _ in cases], float)
+    assert mesh.triangles_meet(p, q).tolist() == [w for _, w in cases] == mesh.triangles_meet(q, p).tolist()
 
 
 def test_core_atoms_and_regions(spark):

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import cell as C
 from ..functions import linalg as la
 from .elastic import cut_lineage, lookup_edges
-from .tess import rotated
+from .tess import FACETS, rotated
 
 UNWRAP_EPSILON = 1e-6
 
@@ -150,16 +153,26 @@ def smooth_mesh(vertices: DataFrame, faces: DataFrame, rounds: int, lam: float =
     return now
 
 
-def triangles_meet(p: list, q: list, eps: float = 1e-12) -> object:
-    """Whether two triangles (lists of three vectors of columns) overlap: no axis among
-    their normals, edge cross products and in-plane edge normals parts them."""
-    ep = [la.sub(p[(i + 1) % 3], p[i]) for i in range(3)]
-    eq = [la.sub(q[(i + 1) % 3], q[i]) for i in range(3)]
-    n, m = la.cross(ep[0], ep[1]), la.cross(eq[0], eq[1])
-    axes = [n, m, *(la.cross(a, b) for a in ep for b in eq), *(la.cross(n, a) for a in ep), *(la.cross(m, b) for b in eq)]
-    parted = F.lit(False)
+def triangles_meet(p: np.ndarray, q: np.ndarray, eps: float = 1e-12) -> np.ndarray:
+    """Whether pairs of triangles (n, 3 corners, 3) overlap: no axis among their normals,
+    edge cross products and in-plane edge normals parts them."""
+    ep, eq = np.roll(p, -1, axis=1) - p, np.roll(q, -1, axis=1) - q
+    n, m = np.cross(ep[:, 0], ep[:, 1]), np.cross(eq[:, 0], eq[:, 1])
+    axes = [n, m, *(np.cross(ep[:, i], eq[:, j]) for i in range(3) for j in range(3)), *(np.cross(n, ep[:, i]) for i in range(3)), *(np.cross(m, eq[:, i]) for i in range(3))]
+    parted = np.zeros(len(p), bool)
     for axis in axes:
-        a, b = [la.dot(axis, x) for x in p], [la.dot(axis, x) for x in q]
-        live = la.dot(axis, axis) > eps
-        parted = parted | (live & ((F.greatest(*a) < F.least(*b)) | (F.greatest(*b) < F.least(*a))))
+        a, b = np.einsum("nk,nck->nc", axis, p), np.einsum("nk,nck->nc", axis, q)
+        live = (axis * axis).sum(axis=1) > eps
+        parted |= live & ((a.max(axis=1) < b.min(axis=1)) | (b.max(axis=1) < a.min(axis=1)))
     return ~parted
+
+
+@F.pandas_udf(T.BooleanType())
+def triangle_meets_cell(corners: pd.Series, triangle: pd.Series) -> pd.Series:
+    """Whether a triangle (nine numbers) overlaps a facet of a cell (twelve numbers)."""
+    t = np.array(triangle.tolist(), float).reshape(-1, 3, 3)
+    c = np.array(corners.tolist(), float).reshape(-1, 4, 3)
+    hit = np.zeros(len(t), bool)
+    for f in FACETS:
+        hit |= triangles_meet(c[:, list(f)], t)
+    return pd.Series(hit)

@@ -78,9 +78,8 @@ def claim_core_cells(triangles: DataFrame, cells: DataFrame, size: float) -> Dat
     t = t.withColumn("triangle", F.struct("fan", "segment_id", "q0", "q1", "q2"))
     near = tess.box_overlaps(tess.bounding_boxes(cells), t, size, "cell", "triangle")
     j = near.join(cells.select("frame_id", "cell", *(f"{k}{i}" for k in "vp" for i in range(4))), ["frame_id", "cell"])
-    q = [la.xyz(F.col("triangle")[f"q{i}"]) for i in range(3)]
-    facet = lambda f: mesh.triangles_meet([la.xyz(f"p{i}") for i in f], q)
-    hit = j.filter(la.any_true(facet(f) for f in tess.FACETS))
+    flat = lambda points: F.array(*(x for p in points for x in la.xyz(p)))
+    hit = j.filter(mesh.triangle_meets_cell(flat([F.col(f"p{i}") for i in range(4)]), flat([F.col("triangle")[f"q{i}"] for i in range(3)])))
     first = hit.groupBy("frame_id", "cell").agg(F.min_by(F.col("triangle")["segment_id"], F.struct(F.col("triangle")["fan"].alias("f"), F.col("triangle")["segment_id"].alias("s"))).alias("segment_id"))
     return first.join(cells.select("frame_id", "cell", *(f"v{i}" for i in range(4))), ["frame_id", "cell"])
 
