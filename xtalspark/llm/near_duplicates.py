@@ -11,8 +11,9 @@ of their weighted Jaccard similarity. Signatures are cut into bands and joined.
 Links are found without pairs of all members of a band's bucket. Documents of
 the same words are one representative. In each bucket the document most often
 met in buckets leads; others are compared with it exactly, by weighted Jaccard
-similarity. Those it is not similar to choose a new leader among themselves,
-until none are left. Classes are the connected components of the links.
+similarity. Those it is not similar to go on with leaders of their own, twice as
+many in each round, until all lead or are linked; no pair is compared twice.
+Classes are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -127,7 +128,8 @@ def similar(pairs: DataFrame, threshold: float) -> DataFrame:
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             out = []
-            for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            texts = (t for at in range(0, len(batch), 256) for t in zip(*(batch.column(i).slice(at, 256).to_pylist() for i in (2, 3))))
+            for ta, tb in texts:
                 if tb not in held:
                     if len(held) >= 8:
                         held.clear()
@@ -160,6 +162,28 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _apart(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Append same: whether doc and leader are already in one class."""
+    if labels is None:
+        return rows.withColumn("same", F.col("doc") == F.col("leader"))
+    of = lambda c: labels.select(F.col("v").alias(f"__{c}"), F.col("label").alias(f"{c}_class"))
+    j = rows.drop("same").join(of("doc"), F.col("doc") == F.col("__doc"), "left").join(of("leader"), F.col("leader") == F.col("__leader"), "left")
+    same = F.coalesce("doc_class", "doc") == F.coalesce("leader_class", "leader")
+    return j.withColumn("same", same).drop("__doc", "__leader", "doc_class", "leader_class")
+
+
+def _labels(met: DataFrame, links: DataFrame) -> DataFrame:
+    """(v, label): the linked leader of a higher rank than v, or that one's own.
+
+    Two steps settle most of a group; the components themselves come at the end.
+    """
+    higher = met.filter((F.col("lead_met") > F.col("met")) | (F.col("lead_met") == F.col("met")) & (F.col("leader") < F.col("doc")))
+    pair = higher.select(F.col("doc").alias("v"), F.col("leader").alias("label"), F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b"))
+    one = stored(pair.join(links.select("a", "b"), ["a", "b"]).select("v", "label"), "labels")
+    over = one.select(F.col("v").alias("u"), F.col("label").alias("over"))
+    return stored(one.join(over, F.col("label") == F.col("u"), "left").select("v", F.coalesce("over", "label").alias("label")), "labels")
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of docs: key, class_id (the smallest key of its class).
 
@@ -180,19 +204,42 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     wanted = members.select("doc").distinct()
     texts = docs.join(wanted, docs[key] == wanted["doc"], "left_semi").select(F.col(key).alias("d"), F.col(text).alias("t"))
     texts = stored(texts.dropDuplicates(["d"]), "texts")
-    links = None
+    links, done, labels, leaders = None, None, None, 1
     while not members.isEmpty():
-        lead = members.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("doc")).alias("doc"))).alias("s"), F.count("*").alias("n"))
-        lead = stored(lead.filter("n > 1").select(F.col("bucket").alias("k"), (-F.col("s.doc")).alias("leader")), "leaders")
-        tried = stored(members.join(lead, F.col("bucket") == F.col("k")).filter("doc <> leader").select("bucket", "doc", "met", "leader"), "tried")
-        pairs = tried.select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct()
+        share = F.pmod(F.xxhash64("doc"), F.lit(leaders))
+        lead = members.groupBy("bucket", share.alias("share")).agg(F.max(F.struct("met", (-F.col("doc")).alias("doc"))).alias("s"))
+        lead = stored(lead.select(F.col("bucket").alias("k"), (-F.col("s.doc")).alias("leader"), F.col("s.met").alias("lead_met")), "leaders")
+        led = members.join(lead, F.col("bucket") == F.col("k")).drop("k")
+        led = stored(_apart(led, labels), "led")
+        wanted = led.filter("not same")
+        if done is None:  # a document first meets the best of its leaders only
+            best = F.max(F.struct("lead_met", (-F.col("leader")).alias("n"))).alias("s")
+            wanted = wanted.groupBy("doc").agg(best, F.max("met").alias("met")).select("doc", "met", (-F.col("s.n")).alias("leader"), "s.lead_met")
+            wanted = stored(wanted, "best")
+        pairs = wanted.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
+        if done is not None:
+            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         with_a = pairs.join(texts, F.col("a") == F.col("d")).select("a", "b", F.col("t").alias("text_a"))
         with_b = with_a.join(texts, F.col("b") == F.col("d")).select("a", "b", "text_a", F.col("t").alias("text_b"))
         found = stored(similar(with_b, threshold), "compared")
-        new = found.filter("linked").select("a", "b")
-        links = new if links is None else links.union(new)
-        apart = found.filter("not linked").select(F.col("a").alias("x"), F.col("b").alias("y"))
-        members = stored(tried.join(apart, (F.col("doc") == F.col("x")) & (F.col("leader") == F.col("y"))).select("bucket", "doc", "met"), "members")
+        first = done is None
+        done = found if first else done.union(found)
+        links = done.filter("linked")
+        if first:
+            labels = _labels(wanted, links)
+        known = done.select(F.col("a").alias("x"), F.col("b").alias("y"), "linked")
+        open_pairs = _apart(led.select("bucket", "doc", "met", "leader"), labels)
+        judged = open_pairs.join(known, (F.least("doc", "leader") == F.col("x")) & (F.greatest("doc", "leader") == F.col("y")), "left")
+        # Settled in a bucket: leading it, or linked to or of one label with a leader. What
+        # was compared in vain goes on; what was not yet compared keeps its leader.
+        still = judged.groupBy("bucket", "doc").agg(F.max("met").alias("met"), F.bool_or((F.col("doc") == F.col("leader")) | F.col("same") | F.coalesce("linked", F.lit(False))).alias("settled"), F.bool_or(F.col("linked").isNull() & (F.col("doc") != F.col("leader")) & ~F.col("same")).alias("waits"))
+        still = stored(still, "judged")
+        # A bucket in which something waits keeps its leaders for the next round.
+        state = still.groupBy("bucket").agg(F.bool_or("waits").alias("w"), F.count_if(~F.col("settled")).alias("n"))
+        state = stored(state.filter("w or n > 1").select(F.col("bucket").alias("k"), "w"), "buckets")
+        members = stored(still.join(state, F.col("bucket") == F.col("k")).filter("w or not settled").select("bucket", "doc", "met"), "members")
+        if not first:
+            leaders *= 2
     if links is None:
         label = reps.select("digest", F.col("rep").alias("class_id"))
     else:
