@@ -14,8 +14,8 @@ Removes each byte that a string of LENGTH bytes covers which also starts earlier
    shift below PERIOD leads both into the sample. Neighbours in the order that
    share LENGTH bytes are repeats; the earliest of them stays.
 3. Buckets of more than HOT runs are not brought together: equal runs are
-   found by a grouped minimum over their digests, and the suffixes of the different
-   runs that are left by another.
+   found by a grouped minimum over their digests, and the different runs that are left
+   are bucketed anew by a longer anchor (REFINED), up to whole strings.
 
 Copies of whole texts are found by their digest beforehand and skip 2 and 3.
 """
@@ -39,11 +39,13 @@ LENGTH = 100
 GRAM = 32
 PERIOD = 32
 HOT = 1000
+#: Anchor lengths of the buckets into which too large ones are dealt; the last is LENGTH.
+REFINED = (64, 96, 100)
 #: Bytes that are hashed, and suffixes that are sorted, at once.
 CHUNK = 1 << 20
 BLOCK = 1 << 20
 
-_ODD = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
+_ODD = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3]
 _ODD = [np.uint64(x) for x in _ODD]
 
 
@@ -69,8 +71,9 @@ def anchor_runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram:
         return none.view(np.uint64), none, none
     h, step, i = _letters()[data], 1, 0
     while step < gram:
-        h = h[:-step] * _ODD[i] + h[step:]
-        step, i = 2 * step, i + 1
+        more = min(step, gram - step)
+        h = h[:-more] * _ODD[i] + h[more:]
+        step, i = step + more, i + 1
     h = _mix(h)
     span = length - gram + 1
     low, at, size = h, np.arange(len(h), dtype=np.int32), 1
@@ -151,25 +154,31 @@ def _words(data: bytes, pad: int) -> np.ndarray:
 
 
 def _rank(words: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, group): at sorted by depth bytes; group ids ascend with the order."""
-    order = np.argsort(words[at], kind="stable")
+    """(order, group): at sorted by depth bytes at least; group ids ascend with the order.
+
+    After the first word only ties are sorted on, by one key of 64 bits: the
+    number of the tied group and as many further bytes as there is room for.
+    """
+    order = np.argsort(words[at])
     key = words[at[order]]
     group = np.cumsum(np.append(0, key[1:] != key[:-1]))
-    for d in range(8, depth, 8):
-        tied = np.zeros(len(at), bool)
+    d = 8
+    while d < depth:
         same = group[1:] == group[:-1]
-        tied[1:] |= same
-        tied[:-1] |= same
+        tied = np.append(False, same) | np.append(same, False)
         where = np.flatnonzero(tied)
         if not len(where):
             break
-        key = words[at[order[where]] + d]
-        sub = np.lexsort((key, group[where]))
+        number = np.cumsum(np.append(0, np.diff(group[where]) != 0)).astype(np.uint64)
+        room = (64 - max(1, int(number[-1]).bit_length())) // 8
+        key = number << np.uint64(8 * room) | words[at[order[where]] + d] >> np.uint64(64 - 8 * room)
+        sub = np.argsort(key)
         order[where] = order[where[sub]]
         key = key[sub]
         split = np.zeros(len(at), np.int64)
-        split[where[1:]] = (group[where[1:]] == group[where[:-1]]) & (key[1:] != key[:-1])
+        split[where[1:]] = (number[1:] == number[:-1]) & (key[1:] != key[:-1])
         group = group + np.cumsum(split)
+        d += room
     return order, group
 
 
@@ -287,8 +296,8 @@ def _copies(docs: DataFrame) -> DataFrame:
 def _pieces(docs: DataFrame, places: DataFrame) -> DataFrame:
     """Runs of repeated buckets cut out of their texts.
 
-    Cold rows: (bucket, key, first, piece). Hot rows have the digest of the piece
-    instead and, for the first piece of its kind in a task, the digests of its suffixes.
+    Hot runs have the digest of the piece as kind, and the piece itself only with
+    the first of its kind in a task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,27 +307,25 @@ def _pieces(docs: DataFrame, places: DataFrame) -> DataFrame:
             texts = _bytes_of(batch.column(1))
             wanted = [{p["first"]: p["hot"] for p in x} for x in places]
             for which, bucket, first, last in text_runs(texts):
-                rows: list[list] = [[], [], [], [], [], [], []]
+                rows: list[list] = [[], [], [], [], [], []]
                 for w, b, f, e in zip(which.tolist(), bucket.view(np.int64).tolist(), first.tolist(), last.tolist()):
                     hot = wanted[w].get(f)
                     if hot is None:
                         continue
-                    piece, kind, inner = texts[w][f : e + LENGTH], None, None
+                    piece, kind = texts[w][f : e + LENGTH], None
                     if hot:
                         kind = hashlib.blake2b(piece, digest_size=16).digest()
-                        if kind not in seen:
-                            if len(seen) > 200_000:
-                                seen.clear()
-                            seen.add(kind)
-                            inner = [hashlib.blake2b(piece[i : i + LENGTH], digest_size=16).digest() for i in range(len(piece) - LENGTH + 1)]
-                        piece = None
-                    for col, v in zip(rows, (b, keys[w], f, e, piece, kind, inner)):
+                        if len(seen) > 200_000:
+                            seen.clear()
+                        piece = None if kind in seen else piece
+                        seen.add(kind)
+                    for col, v in zip(rows, (b, keys[w], f, e, piece, kind)):
                         col.append(v)
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=["bucket", "key", "first", "last", "piece", "kind", "inner"])
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=["bucket", "key", "first", "last", "piece", "kind"])
 
     joined = docs.join(places, docs["key"] == places["k"]).select("key", "data", "places")
-    schema = "bucket bigint, key bigint, first int, last int, piece binary, kind binary, inner array<binary>"
+    schema = "bucket bigint, key bigint, first int, last int, piece binary, kind binary"
     return stored(joined.mapInArrow(run, schema), "pieces")
 
 
@@ -351,23 +358,45 @@ def _cold(pieces: DataFrame) -> DataFrame:
         if rows:
             yield block(rows)
 
-    cold = pieces.filter("piece is not null").select("bucket", "key", "first", "piece")
+    cold = pieces.filter("kind is null").select("bucket", "key", "first", "piece")
     n = max(int(cold.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return cold.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key bigint, first int, last int")
 
 
-def _hot(pieces: DataFrame) -> DataFrame:
-    """Repeats within hot buckets, by grouped minima of digests."""
+def _refined(pieces: DataFrame, gram: int) -> DataFrame:
+    """Runs of the suffixes in pieces (key, first, piece) by anchors of gram bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, firsts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for at in range(0, len(batch), 4096):
+                texts = _bytes_of(batch.column(2).slice(at, 4096))
+                ends = np.cumsum([len(t) for t in texts])
+                bucket, first, last = anchor_runs(np.frombuffer(b"".join(texts), np.uint8), ends, gram=gram)
+                which = np.searchsorted(ends, first, side="right")
+                inner = first - np.append(0, ends[:-1])[which]
+                found = [texts[w][i : i + n + LENGTH] for w, i, n in zip(which.tolist(), inner.tolist(), (last - first).tolist())]
+                kinds = [hashlib.blake2b(t, digest_size=16).digest() for t in found]
+                start = (firsts[at + which] + inner).astype(np.int32)
+                arrays = [bucket.view(np.int64), keys[at + which], start, start + (last - first).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array(found, pa.binary()), pa.array(kinds, pa.binary())], names=["bucket", "key", "first", "last", "piece", "kind"])
+
+    return pieces.mapInArrow(run, "bucket bigint, key bigint, first int, last int, piece binary, kind binary")
+
+
+def _hot(pieces: DataFrame, grams: tuple[int, ...] = REFINED) -> DataFrame:
+    """Repeats within hot buckets, by grouped minima of digests and longer anchors."""
     hot = pieces.filter("kind is not null")
-    least = hot.groupBy("kind").agg(F.min(F.struct("key", "first")).alias("least"), F.max("inner").alias("inner"))
-    least = stored(least.select(F.col("kind").alias("k"), "least", "inner"), "hot-runs")
-    later = hot.join(least.select("k", "least"), F.col("kind") == F.col("k")).filter(F.struct("key", "first") != F.col("least")).select("key", "first", "last")
-    each = least.select(F.col("least.key").alias("key"), F.col("least.first").alias("start"), F.posexplode("inner").alias("i", "digest"))
-    each = each.select("key", (F.col("start") + F.col("i")).alias("first"), "digest")
-    firsts = each.groupBy("digest").agg(F.min(F.struct("key", "first")).alias("least"), F.count("*").alias("n")).filter("n > 1")
-    firsts = stored(firsts.select(F.col("digest").alias("d"), "least"), "hot-suffixes")
-    again = each.join(firsts, F.col("digest") == F.col("d")).filter(F.struct("key", "first") != F.col("least"))
-    return later.unionByName(again.select("key", "first", F.col("first").alias("last")))
+    least = hot.groupBy("kind").agg(F.min(F.struct("key", "first")).alias("least"), F.max("piece").alias("piece"), F.count("*").alias("n"))
+    least = stored(least.select(F.col("kind").alias("k"), "least", "piece", "n"), "hot-runs")
+    later = hot.join(least.filter("n > 1").select("k", "least"), F.col("kind") == F.col("k")).filter(F.struct("key", "first") != F.col("least")).select("key", "first", "last")
+    if not grams or least.isEmpty():
+        return later
+    runs = stored(_refined(least.select("least.key", "least.first", "piece"), grams[0]), "refined")
+    counts = runs.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    counts = stored(counts.select(F.col("bucket").alias("b"), (F.col("n") > HOT).alias("hot")), "repeated-buckets")
+    again = runs.join(counts, F.col("bucket") == F.col("b")).select("bucket", "key", "first", "last", "piece", F.when(F.col("hot"), F.col("kind")).alias("kind"))
+    return later.unionByName(_cold(again)).unionByName(_hot(again, grams[1:]))
 
 
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
