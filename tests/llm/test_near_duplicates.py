@@ -43,6 +43,35 @@ def test_equals_brute_force(spark):
     assert got == brute(docs)
 
 
+def edited(text, places, tag):
+    w = text.split()
+    for i in places:
+        w[i] = f"{tag}x{i}"
+    return " ".join(w)
+
+
+def hub_with_variants(n_variants=40, n_pairs=12):
+    """A hub, variants of it, and pairs (A, B): A is near the hub, B near A alone."""
+    hub = prose(304, 77, [f"w{k}" for k in range(4000)])
+    texts = [hub] + [edited(hub, [5 + 6 * (s % 48)], f"v{s}") for s in range(n_variants)]
+    for s in range(n_pairs):
+        a = edited(hub, [10 + s], f"a{s}")
+        texts += [a, edited(a, [60 + s + 30 * k for k in range(6)], f"b{s}")]
+    return texts
+
+
+@pytest.mark.parametrize("block_rows", [512, 7])
+def test_links_of_settled_members_are_found(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(nd, "BLOCK_ROWS", block_rows, raising=False)
+    texts = hub_with_variants()
+    u = [nd.units(nd.words_of(t)) for t in texts]
+    for b in range(42, len(texts), 2):
+        assert nd.weighted_jaccard(u[b], u[b - 1]) >= nd.THRESHOLD > nd.weighted_jaccard(u[b], u[0])
+    docs = dict(enumerate(texts))
+    got = {r["doc_id"]: r["class_id"] for r in nd.classes(spark.createDataFrame(rows(texts), SCHEMA).repartition(4)).collect()}
+    assert got == brute(docs)
+
+
 def test_signature_estimates_weighted_similarity():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))

@@ -8,12 +8,13 @@ never thrown. Each dart falls on one of SLOTS coordinates, and the earliest on
 each is the signature: two documents agree on a coordinate with the probability
 of their weighted Jaccard similarity. Signatures are cut into bands and joined.
 
-Links are found without pairs of all members of a band's bucket. Documents of
-the same words are one representative. In each bucket the document most often
-met in buckets leads; others are compared with it exactly, by weighted Jaccard
-similarity. Those it is not similar to go on with leaders of their own, twice as
-many in each round, until all lead or are linked; no pair is compared twice.
-Classes are the connected components of the links.
+Documents of the same words are one representative. In each bucket the document
+most often met in buckets leads, and each document is compared exactly, by
+weighted Jaccard similarity, with the best of its leaders. Then any two members of a
+bucket that are not yet of one component are compared exactly, in blocks of
+bounded size: a pair is left out only if it is of one component, its sizes
+forbid the threshold or it meets in another bucket. Classes are the connected
+components of the links.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
+#: Rows and units of a block of a bucket, about; they bound a group's memory.
+BLOCK_ROWS, BLOCK_UNITS = 512, 1 << 20
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31, _S11 = np.uint64(30), np.uint64(27), np.uint64(31), np.uint64(11)
@@ -162,26 +165,108 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _apart(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Append same: whether doc and leader are already in one class."""
-    if labels is None:
-        return rows.withColumn("same", F.col("doc") == F.col("leader"))
-    of = lambda c: labels.select(F.col("v").alias(f"__{c}"), F.col("label").alias(f"{c}_class"))
-    j = rows.drop("same").join(of("doc"), F.col("doc") == F.col("__doc"), "left").join(of("leader"), F.col("leader") == F.col("__leader"), "left")
-    same = F.coalesce("doc_class", "doc") == F.coalesce("leader_class", "leader")
-    return j.withColumn("same", same).drop("__doc", "__leader", "doc_class", "leader_class")
+def cross_links(group: pa.Table, bands: int = BANDS, threshold: float = THRESHOLD) -> list[tuple]:
+    """Linked pairs (a, b), a < b, of different labels among the rows (bucket, i, j,
+    doc, block, label, bands, units) of one block pair of a bucket.
 
+    All pairs of two blocks, or of one if i = j, are compared, except those of one
+    label, those whose sizes forbid the threshold and those that meet in an
+    earlier band too. Links merge labels, so that a class is not linked over and over.
+    """
+    bucket, i, j = (group.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+    units_of = [np.frombuffer(x, np.uint64) for x in group.column("units").to_pylist()]
+    size = np.array([len(u) for u in units_of])
+    order = np.argsort(size, kind="stable")
+    size = size[order]
+    docs = group.column("doc").to_numpy()[order]
+    block = group.column("block").to_numpy()[order]
+    label = np.unique(group.column("label").to_numpy()[order], return_inverse=True)[1]
+    keys = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, bands)[order]
+    ids = np.unique(np.concatenate([units_of[k] for k in order]), return_inverse=True)[1].astype(np.int32)
+    starts = np.append(0, np.cumsum(size))
+    mark = np.zeros(int(ids.max()) + 1, np.int64)
+    at_band = int(np.argmax(keys[0] == bucket))
+    found = []
+    for r in range(len(docs) - 1):
+        end = int(np.searchsorted(-(size[r] / size), -threshold, "right"))
+        wanted = label[r + 1 : end] != label[r]
+        if i != j:
+            wanted &= block[r + 1 : end] != block[r]
+        if wanted.any():
+            wanted &= ~(keys[r + 1 : end, :at_band] == keys[r, :at_band]).any(axis=1)
+        at = r + 1 + np.flatnonzero(wanted)
+        if not len(at):
+            continue
+        mark[ids[starts[r] : starts[r + 1]]] = 1
+        lo, hi = at[0], at[-1] + 1
+        shared = np.add.reduceat(mark[ids[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo])[at - lo]
+        mark[ids[starts[r] : starts[r + 1]]] = 0
+        for c in at[shared / (size[r] + size[at] - shared) >= threshold]:
+            if label[c] != label[r]:
+                found.append((min(docs[r], docs[c]), max(docs[r], docs[c])))
+                label[label == label[c]] = label[r]
+    return found
+
+
+def _across(members: DataFrame, labels: DataFrame, texts: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between members (bucket, doc) of a bucket that have different labels.
+
+    Large buckets are dealt into blocks by hash, of bounded rows and units, and each
+    pair of blocks is a group of its own. Only links come out.
+    """
+    kind = members.schema["doc"].dataType.simpleString()
+    of = labels.select(F.col("v").alias("__v"), "label")
+    told = members.join(of, F.col("doc") == F.col("__v"), "left").select("bucket", "doc", F.coalesce("label", "doc").alias("label"))
+    told = stored(told, "labelled")
+    mixed = told.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("bucket").alias("k"))
+    told = stored(told.join(mixed, F.col("bucket") == F.col("k"), "left_semi"), "mixed")
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                packed = [units(words_of(t)) for t in part.column(1).to_pylist()]
+                arrays = [part.column(0), pa.array([len(u) for u in packed], pa.int64()), pa.array([u.tobytes() for u in packed], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["d", "weight", "units"])
+
+    need = told.select(F.col("doc").alias("n")).distinct()
+    loads = texts.join(need, F.col("d") == F.col("n"), "left_semi").select("d", "t").mapInArrow(load, f"d {kind}, weight bigint, units binary")
+    loads = stored(loads.join(reps.select("rep", "bands"), F.col("d") == F.col("rep")).select("d", "weight", "units", "bands"), "units")
+    weighed = stored(told.join(loads.select("d", "weight"), F.col("doc") == F.col("d")).drop("d"), "weighed")
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("weight") / BLOCK_UNITS)).cast("int")
+    sizes = stored(weighed.groupBy("bucket").agg(parts.alias("parts")).withColumnRenamed("bucket", "k"), "parts")
+    dealt = weighed.join(sizes, F.col("bucket") == F.col("k")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    other = dealt.select("bucket", "doc", "label", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    pair = other.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "block", "label")
+    rows = pair.join(loads, F.col("doc") == F.col("d")).select("bucket", "i", "j", "doc", "block", "label", "bands", "units")
+    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
-def _labels(met: DataFrame, links: DataFrame) -> DataFrame:
-    """(v, label): the linked leader of a higher rank than v, or that one's own.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
 
-    Two steps settle most of a group; the components themselves come at the end.
-    """
-    higher = met.filter((F.col("lead_met") > F.col("met")) | (F.col("lead_met") == F.col("met")) & (F.col("leader") < F.col("doc")))
-    pair = higher.select(F.col("doc").alias("v"), F.col("leader").alias("label"), F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b"))
-    one = stored(pair.join(links.select("a", "b"), ["a", "b"]).select("v", "label"), "labels")
-    over = one.select(F.col("v").alias("u"), F.col("label").alias("over"))
-    return stored(one.join(over, F.col("label") == F.col("u"), "left").select("v", F.coalesce("over", "label").alias("label")), "labels")
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                found = cross_links(pa.Table.from_batches(held), threshold=threshold)
+                held.clear()
+                if found:
+                    a, b = zip(*found)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, batch.column(3).type), pa.array(b, batch.column(3).type)], names=["a", "b"])
+
+        last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            cols = [batch.column(c).to_numpy() for c in range(3)]
+            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(batch)]):
+                group = tuple(c[lo] for c in cols)
+                if group != last:
+                    yield from flush()
+                    last = group
+                held.append(batch.slice(lo, hi - lo))
+        yield from flush()
+
+    return stored(rows.mapInArrow(run, f"a {kind}, b {kind}"), "across")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -204,45 +289,19 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     wanted = members.select("doc").distinct()
     texts = docs.join(wanted, docs[key] == wanted["doc"], "left_semi").select(F.col(key).alias("d"), F.col(text).alias("t"))
     texts = stored(texts.dropDuplicates(["d"]), "texts")
-    links, done, labels, leaders = None, None, None, 1
-    while not members.isEmpty():
-        share = F.pmod(F.xxhash64("doc"), F.lit(leaders))
-        lead = members.groupBy("bucket", share.alias("share")).agg(F.max(F.struct("met", (-F.col("doc")).alias("doc"))).alias("s"))
+    if members.isEmpty():
+        label = reps.select("digest", F.col("rep").alias("class_id"))
+    else:
+        # A document first meets the best of its leaders only.
+        lead = members.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("doc")).alias("doc"))).alias("s"))
         lead = stored(lead.select(F.col("bucket").alias("k"), (-F.col("s.doc")).alias("leader"), F.col("s.met").alias("lead_met")), "leaders")
-        led = members.join(lead, F.col("bucket") == F.col("k")).drop("k")
-        led = stored(_apart(led, labels), "led")
-        wanted = led.filter("not same")
-        if done is None:  # a document first meets the best of its leaders only
-            best = F.max(F.struct("lead_met", (-F.col("leader")).alias("n"))).alias("s")
-            wanted = wanted.groupBy("doc").agg(best, F.max("met").alias("met")).select("doc", "met", (-F.col("s.n")).alias("leader"), "s.lead_met")
-            wanted = stored(wanted, "best")
-        pairs = wanted.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        led = members.join(lead, F.col("bucket") == F.col("k")).filter(F.col("doc") != F.col("leader"))
+        best = led.groupBy("doc").agg(F.max(F.struct("lead_met", (-F.col("leader")).alias("n"))).alias("s")).select("doc", (-F.col("s.n")).alias("leader"))
+        pairs = best.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
         with_a = pairs.join(texts, F.col("a") == F.col("d")).select("a", "b", F.col("t").alias("text_a"))
         with_b = with_a.join(texts, F.col("b") == F.col("d")).select("a", "b", "text_a", F.col("t").alias("text_b"))
-        found = stored(similar(with_b, threshold), "compared")
-        first = done is None
-        done = found if first else done.union(found)
-        links = done.filter("linked")
-        if first:
-            labels = _labels(wanted, links)
-        known = done.select(F.col("a").alias("x"), F.col("b").alias("y"), "linked")
-        open_pairs = _apart(led.select("bucket", "doc", "met", "leader"), labels)
-        judged = open_pairs.join(known, (F.least("doc", "leader") == F.col("x")) & (F.greatest("doc", "leader") == F.col("y")), "left")
-        # Settled in a bucket: leading it, or linked to or of one label with a leader. What
-        # was compared in vain goes on; what was not yet compared keeps its leader.
-        still = judged.groupBy("bucket", "doc").agg(F.max("met").alias("met"), F.bool_or((F.col("doc") == F.col("leader")) | F.col("same") | F.coalesce("linked", F.lit(False))).alias("settled"), F.bool_or(F.col("linked").isNull() & (F.col("doc") != F.col("leader")) & ~F.col("same")).alias("waits"))
-        still = stored(still, "judged")
-        # A bucket in which something waits keeps its leaders for the next round.
-        state = still.groupBy("bucket").agg(F.bool_or("waits").alias("w"), F.count_if(~F.col("settled")).alias("n"))
-        state = stored(state.filter("w or n > 1").select(F.col("bucket").alias("k"), "w"), "buckets")
-        members = stored(still.join(state, F.col("bucket") == F.col("k")).filter("w or not settled").select("bucket", "doc", "met"), "members")
-        if not first:
-            leaders *= 2
-    if links is None:
-        label = reps.select("digest", F.col("rep").alias("class_id"))
-    else:
+        links = stored(similar(with_b, threshold), "compared").filter("linked").select("a", "b")
+        links = links.union(_across(members.select("bucket", "doc"), components(links), texts, reps, threshold))
         of = components(links)
         label = reps.join(of, F.col("rep") == F.col("v"), "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
     label = stored(label.withColumnRenamed("digest", "g"), "classes")
