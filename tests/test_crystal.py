@@ -11,7 +11,7 @@ from xtalspark.functions import burgers as B
 from xtalspark.functions import cell as C
 from xtalspark.functions import linalg as la
 from xtalspark.operators import delaunay, elastic, ghosts, lines, mesh, network, regions, tess
-from xtalspark.plans import queries
+from xtalspark.plans import queries, views
 from xtalspark.plans.options import DxaOptions
 from xtalspark.sources import lammps, lattices
 
@@ -34,6 +34,26 @@ def test_queries_run(spark, name):
     assert queries.QUERIES[name](spark, DATA).count() > 0
 
 
+@pytest.fixture(scope="module")
+def few_orders(spark, tmp_path_factory):
+    """Folder of the first 60 orders and their items."""
+    d = str(tmp_path_factory.mktemp("few"))
+    for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        spark.read.parquet(f"{DATA}/{name}.parquet").filter(F.col(key) < 60).write.parquet(f"{d}/{name}.parquet")
+    return d
+
+
+def test_bbox_overlap_takes_cells_of_any_size(spark, few_orders):
+    at = {r["atom_idx"]: (r["x"], r["y"], r["z"]) for r in views.atoms(spark, few_orders).collect()}
+    want = set()
+    for r in views.tets(spark, few_orders).collect():
+        corners = np.array([at[r[f"v{i}"]] for i in range(4)])
+        lo, hi = corners.min(0), corners.max(0)
+        want |= {(r["cell"], k) for k, p in at.items() if (lo <= np.array(p) + 1).all() and (np.array(p) - 1 <= hi).all()}
+    got = [tuple(r) for r in queries.bbox_overlap(spark, few_orders).select("cell", "atom_idx").collect()]
+    assert want and len(got) == len(set(got)) and set(got) == want
+
+
 def test_every_family_is_named_and_near_misses_are_not(spark):
     rows, want = [], []
     for structure, table in B.FAMILIES.items():

@@ -196,11 +196,10 @@ _BOXES = " ".join(f", least(p0.{a},p1.{a},p2.{a},p3.{a}) lo_{a}, greatest(p0.{a}
 def bbox_overlap(spark: SparkSession, d: str) -> DataFrame:
     """J11, A18"""
     b = tess.bounding_boxes(_tet_points(spark, d))
-    small = b.filter(la.all_true(F.col(f"hi_{a}") - F.col(f"lo_{a}") < 12 for a in "xyz"))
     a = V.atoms(spark, d)
     for x in "xyz":
         a = a.withColumn(f"lo_{x}", F.col(x) - 1).withColumn(f"hi_{x}", F.col(x) + 1)
-    return tess.box_overlaps(small, a, 6.0, "cell", "atom_idx").drop("frame_id")
+    return tess.box_overlaps(b, a, 6.0, "cell", "atom_idx").drop("frame_id")
 
 
 _ROUND = "select l.v, case when l.c<>0 then l.c else coalesce(m.c,0) end c from {0} l left join (select b.v, arg_max(o.c, b.nbr) c from dv_both b join {0} o on o.v=b.nbr where o.c<>0 group by b.v) m on m.v=l.v"
