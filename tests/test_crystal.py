@@ -54,6 +54,20 @@ def test_bbox_overlap_takes_cells_of_any_size(spark, few_orders):
     assert want and len(got) == len(set(got)) and set(got) == want
 
 
+def test_reachability_starts_from_every_vertex(spark, few_orders):
+    near = {}
+    for r in views.edges(spark, few_orders).collect():
+        near.setdefault(r["v1"], set()).add(r["v2"])
+        near.setdefault(r["v2"], set()).add(r["v1"])
+    want = {}
+    for v in near:
+        for n, reached in enumerate([{v}, near[v], {y for x in near[v] for y in near[x]}]):
+            for x in reached:
+                want.setdefault((v, x), n)
+    got = [tuple(r) for r in queries.reachability_depth2(spark, few_orders).select("src", "dst", "hops").collect()]
+    assert len(got) == len(want) and {(a, b): n for a, b, n in got} == want
+
+
 def test_every_family_is_named_and_near_misses_are_not(spark):
     rows, want = [], []
     for structure, table in B.FAMILIES.items():
