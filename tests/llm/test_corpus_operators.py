@@ -129,6 +129,10 @@ def test_page_text_drops_markup():
     assert languages.declared_language('<HTML class=x LANG=pt-BR>') == "pt"
 
 
+def test_declaration_after_a_long_preamble():
+    assert languages.declared_language("<!-- " + "x " * 50_000 + '--><html lang="fr">') == "fr"
+
+
 def pages(spark):
     html = [None, "", "same", "same", "é" * 1000, "same", "\x1f\x8b\x08" * 40, "WARC/1.1\r\n\r\n" * 5, "x" * 300_000]
     return spark.createDataFrame([(i, f"http://h/{i}\r\nX: y" if i else None, h) for i, h in enumerate(html)] + [(None, None, "odd")], "page_id bigint, url string, html string")

@@ -45,7 +45,7 @@ def page_text(page: str | None) -> str:
 
 
 def declared_language(page: str | None) -> str:
-    found = _DECLARED.search((page or "")[: 1 << 16])
+    found = _DECLARED.search(page or "")
     return found[1].lower() if found else ""
 
 
