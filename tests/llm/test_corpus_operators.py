@@ -129,6 +129,13 @@ def test_page_text_drops_markup():
     assert languages.declared_language('<HTML class=x LANG=pt-BR>') == "pt"
 
 
+def test_more_labels_than_the_model_holds_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(languages, "MAX_LANGUAGES", 2)
+    docs = spark.createDataFrame([(i, f"text {x}", x) for i, x in enumerate("abc")], "doc_id bigint, text string, lang string")
+    with pytest.raises(ValueError, match="more than 2 labels"):
+        languages.fit(docs)
+
+
 def test_declaration_after_a_long_preamble():
     assert languages.declared_language("<!-- " + "x " * 50_000 + '--><html lang="fr">') == "fr"
 

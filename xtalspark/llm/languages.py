@@ -28,7 +28,7 @@ from .common import stored
 TRAIN_ROWS = 20_000
 #: Hash bins of trigrams; with the languages this bounds the model's size.
 BINS = 1 << 16
-#: Languages at most: the most frequent labels of the sample.
+#: Languages at most; a sample of more labels is refused.
 MAX_LANGUAGES = 200
 #: Trigrams a text may count for at most: neighbours in a text are not independent.
 EFFECTIVE_TRIGRAMS = 40
@@ -85,7 +85,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, text, lang)
     share = min(1.0, rows / max(1, known.count()))
     sample = known.filter(F.pmod(F.xxhash64(key, F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else known
-    top = sample.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()
+    top = sample.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES + 1).collect()
+    if len(top) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labels in the sample")
     languages = sorted(r[0] for r in top)
     if not languages:
         raise ValueError("no labelled text to fit a language model on")
