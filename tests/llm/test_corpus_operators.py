@@ -164,6 +164,14 @@ def test_archives_read_back_whole_at_any_split(spark, split):
             assert bytes(r["content"]) == (html.encode() if i == top else b"")
 
 
+def test_records_with_very_long_headers_are_read(tmp_path):
+    rec = warc.record(1, "http://a/" + "a" * (80 << 20), b"body", warc.payload_digest(b"body"), "response", None)
+    assert len(rec) > warc.BLOCK // 16
+    (tmp_path / "a.warc.gz").write_bytes(rec)
+    found = list(warc.scan_range(f"file://{tmp_path}/a.warc.gz", len(rec), 0, len(rec)))
+    assert len(found) == 1 and found[0][2] == b"body"
+
+
 def test_archives_are_gzip_members_and_junk_is_passed_over(spark, tmp_path):
     rec = warc.record(1, "http://a/", b"body", warc.payload_digest(b"body"), "response", None)
     assert gzip.decompress(rec).startswith(b"WARC/1.1\r\nWARC-Type: response")

@@ -25,8 +25,6 @@ from .common import scratch, stored
 MAGIC = b"\x1f\x8b\x08"
 SPLIT = 16 << 20
 BLOCK = 1 << 20
-#: Inflated bytes in which a member must show its WARC version and headers.
-HEADER_LIMIT = 1 << 20
 
 
 def payload_digest(data: bytes) -> str:
@@ -103,7 +101,7 @@ class _Window:
 
 def _member(window: _Window, pos: int) -> tuple[bytes, int] | None:
     """The inflated member at pos and its end, or None if none with a WARC header begins there."""
-    inflate, parts, at, n = zlib.decompressobj(31), [], pos, 0
+    inflate, parts, at = zlib.decompressobj(31), [], pos
     while not inflate.eof:
         data = window.at(at, BLOCK // 16 if at == pos else BLOCK)
         if not data:
@@ -113,13 +111,10 @@ def _member(window: _Window, pos: int) -> tuple[bytes, int] | None:
         except zlib.error:
             return None
         parts.append(part)
-        n += len(part)
         at += len(data)
         head = parts[0][:5]
         if len(head) == 5 and head != b"WARC/":
             return None
-        if len(parts) == 1 and n >= HEADER_LIMIT and b"\r\n\r\n" not in part:
-            return None
     body = b"".join(parts)
     return (body, at - len(inflate.unused_data)) if body[:5] == b"WARC/" and b"\r\n\r\n" in body else None
 
