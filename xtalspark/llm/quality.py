@@ -87,12 +87,9 @@ def repeated_words(words: Column) -> Column:
     return let(_window_hashes(words), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h))).cast("long")
 
 
-def measures(df: DataFrame, text: str = "text", out: str = "m") -> DataFrame:
-    """Append the struct column `out` of counts to df.
-
-    Null and empty texts have zero everywhere. A column `out` of df is replaced.
-    """
-    t = F.coalesce(F.col(text), F.lit(""))
+def _parts(text: Column) -> tuple[Column, Column, Column]:
+    """Counts over words, over lines, and of symbols, each read once from text."""
+    t = F.coalesce(text, F.lit(""))
     n_symbols = F.length(t) - F.length(F.translate(t, SYMBOLS, ""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
     in_stops = lambda w: F.lower(w).isin(list(dict.fromkeys(STOP_WORDS)))
@@ -113,12 +110,29 @@ def measures(df: DataFrame, text: str = "text", out: str = "m") -> DataFrame:
             F.size(F.filter(x, lambda y: y.rlike(r"(\.\.\.|…)[ \t-\r]*$"))).cast("long").alias("n_ellipsis_lines"),
         )
 
-    parts = df.select("*", let(words_of(F.col(text)), from_words).alias("__w"), let(lines, from_lines).alias("__l"), n_symbols.cast("long").alias("__s"))
+    return let(words_of(text), from_words), let(lines, from_lines), n_symbols.cast("long")
+
+
+def measures(df: DataFrame, text: str = "text", out: str = "m") -> DataFrame:
+    """Append the struct column `out` of counts to df.
+
+    Null and empty texts have zero everywhere. A column `out` of df is replaced.
+    """
+    w, lines, n_symbols = _parts(F.col(text))
+    parts = df.select("*", w.alias("__w"), lines.alias("__l"), n_symbols.alias("__s"))
     m = F.struct("__w.*", "__l.*", F.col("__s").alias("n_symbols"))
     return parts.withColumn(out, m).drop("__w", "__l", "__s")
 
 
-def ratios(m: Column) -> dict[str, Column]:
+#: Counts by the part of a text they are read from.
+PARTS = {
+    "w": ("n_words", "word_chars", "n_stop_words", "n_repeat_words"),
+    "l": ("n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines"),
+}
+
+
+def ratios(m) -> dict[str, Column]:
+    """Measures by name, from the struct of counts or a dictionary of them."""
     words = F.greatest(m["n_words"], F.lit(1)).cast("double")
     lines = F.greatest(m["n_lines"], F.lit(1)).cast("double")
     return {
@@ -133,7 +147,7 @@ def ratios(m: Column) -> dict[str, Column]:
     }
 
 
-def verdict(m: Column, rules=RULES) -> tuple[Column, Column]:
+def verdict(m, rules=RULES) -> tuple[Column, Column]:
     """Whether all rules hold, and the array of names of those that do not."""
     r = ratios(m)
     failed = []
@@ -156,10 +170,18 @@ def score(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
 
 
 def keep_good(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """The rows of df that pass all rules, with df's own columns."""
-    cols = df.columns
-    kept, _ = verdict(F.col("__m"), rules)
-    return measures(df, text, "__m").filter(kept).select(*cols)
+    """The rows of df that pass all rules, with df's own columns.
+
+    The counts are a variable of one expression: as a column they would be put
+    anew, split and all, in place of each of the filter's references to them.
+    """
+    w, lines, n_symbols = _parts(F.col(text))
+
+    def passes(p: Column) -> Column:
+        flat = {name: p[part][name] for part, names in PARTS.items() for name in names}
+        return verdict(flat | {"n_symbols": p["s"]}, rules)[0]
+
+    return df.filter(let(F.struct(w.alias("w"), lines.alias("l"), n_symbols.alias("s")), passes))
 
 
 def base_failed(m: Column) -> Column:
