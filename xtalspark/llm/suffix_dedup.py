@@ -5,12 +5,13 @@ Removes each byte that a string of LENGTH bytes covers which also starts earlier
 
 1. Suffixes fall into buckets by the smallest hash of GRAM bytes in their first
    LENGTH bytes (its place is the anchor). Equal strings have equal anchors, so
-   only buckets of two suffixes or more can repeat one. Anchors are counted by a grouped
-   aggregation; runs of neighbouring suffixes with one anchor stay together.
+   only buckets of two suffixes or more can repeat one. Texts are hashed once; runs of
+   neighbouring suffixes with one anchor stay together, are stored and counted by anchor.
 2. The runs of such buckets are cut out of their texts and dealt by bucket.
    A task sorts a block of a few whole buckets at a time: suffixes are sorted
    by their first PERIOD bytes, and longer ties are resolved by the ranks of a
-   difference-cover sample, computed for the block beforehand. For any two suffixes a
+   difference-cover sample, computed for the block beforehand. Of equal runs only
+   the earliest is sorted. For any two suffixes a
    shift below PERIOD leads both into the sample. Neighbours in the order that
    share LENGTH bytes are repeats; the earliest of them stays.
 3. Buckets of more than HOT runs are not brought together: equal runs are
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, utf8
+from .common import discard, stored, utf8
 
 LENGTH = 100
 GRAM = 32
@@ -44,6 +45,8 @@ REFINED = (64, 96, 100)
 #: Bytes that are hashed, and suffixes that are sorted, at once.
 CHUNK = 1 << 20
 BLOCK = 1 << 20
+#: Pieces that are cut at once.
+CUTS = 50_000
 
 _ODD = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3]
 _ODD = [np.uint64(x) for x in _ODD]
@@ -259,6 +262,19 @@ def block_repeats(keys: np.ndarray, firsts: np.ndarray, pieces: list[bytes]) ->
     return _spans(k[again], s[again])
 
 
+def distinct_repeats(keys: np.ndarray, firsts: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What block_repeats gives, sorting the suffixes of the earliest of equal
+    pieces only: all of a later one repeat that one."""
+    codes: dict[bytes, int] = {}
+    code = np.fromiter((codes.setdefault(p, len(codes)) for p in pieces), np.int64, len(pieces))
+    order = np.lexsort((firsts, keys, code))
+    head = np.append(True, code[order][1:] != code[order][:-1])
+    lead, later = order[head], order[~head]
+    k, a, b = block_repeats(keys[lead], firsts[lead], [pieces[i] for i in lead.tolist()])
+    ends = firsts[later] + np.fromiter((len(pieces[i]) for i in later.tolist()), np.int64, len(later)) - LENGTH
+    return np.append(k, keys[later]), np.append(a, firsts[later]), np.append(b, ends)
+
+
 def _release(spark: SparkSession) -> None:
     """Let the driver drop references to finished shuffles, so that their files go."""
     gc.collect()
@@ -270,22 +286,32 @@ def _bytes_of(column) -> list[bytes]:
 
 
 def _runs(docs: DataFrame) -> DataFrame:
-    """(bucket, key, first) of each run in docs (key, data)."""
+    """(bucket, key, first, n) of each run in docs (key, data); it holds n + 1 suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for which, bucket, first, _ in text_runs(_bytes_of(batch.column(1))):
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(keys[which]), pa.array(first.astype(np.int32))], names=["bucket", "key", "first"])
+            for which, bucket, first, last in text_runs(_bytes_of(batch.column(1))):
+                arrays = [bucket.view(np.int64), keys[which], first.astype(np.int32), (last - first).astype(np.int16)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays)], names=["bucket", "key", "first", "n"])
 
-    return docs.mapInArrow(run, "bucket bigint, key bigint, first int")
+    return stored(docs.mapInArrow(run, "bucket bigint, key bigint, first int, n smallint"), "runs")
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    counts = _runs(docs).groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+def _counted(runs: DataFrame) -> DataFrame:
+    counts = runs.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     return stored(counts.select(F.col("bucket").alias("b"), (F.col("n") > HOT).alias("hot")), "repeated-buckets")
 
 
+def _places(runs: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(key, places): the runs of repeated buckets by text. A place is a number of
+    64 bits: the first suffix, the number of further ones and whether the bucket is hot."""
+    place = F.shiftleft(F.col("first").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("n").cast("bigint"), 1))
+    joined = runs.select("bucket", "key", place.alias("place")).join(buckets, F.col("bucket") == F.col("b"))
+    marked = joined.select("key", F.struct("bucket", F.col("place").bitwiseOR(F.col("hot").cast("bigint")).alias("place")).alias("p"))
+    return marked.groupBy("key").agg(F.collect_list("p").alias("places"))
+
+
 def _copies(docs: DataFrame) -> DataFrame:
     """(key, first, last): texts of LENGTH bytes or more that a smaller key has too."""
     ids = docs.select("key", F.unhex(F.sha2("data", 256)).alias("sha"), F.octet_length("data").alias("n")).filter(F.col("n") >= LENGTH)
@@ -303,26 +329,25 @@ def _pieces(docs: DataFrame, places: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            keys, places = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
-            texts = _bytes_of(batch.column(1))
-            wanted = [{p["first"]: p["hot"] for p in x} for x in places]
-            for which, bucket, first, last in text_runs(texts):
-                rows: list[list] = [[], [], [], [], [], []]
-                for w, b, f, e in zip(which.tolist(), bucket.view(np.int64).tolist(), first.tolist(), last.tolist()):
-                    hot = wanted[w].get(f)
-                    if hot is None:
-                        continue
-                    piece, kind = texts[w][f : e + LENGTH], None
-                    if hot:
-                        kind = hashlib.blake2b(piece, digest_size=16).digest()
-                        if len(seen) > 200_000:
-                            seen.clear()
-                        piece = None if kind in seen else piece
-                        seen.add(kind)
-                    for col, v in zip(rows, (b, keys[w], f, e, piece, kind)):
-                        col.append(v)
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=["bucket", "key", "first", "last", "piece", "kind"])
+            keys, texts, lists = batch.column(0).to_numpy(zero_copy_only=False), _bytes_of(batch.column(1)), batch.column(2)
+            which = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())
+            buckets, at = lists.flatten().flatten()
+            at = at.to_numpy()
+            firsts, counts, hot = at >> 32, (at & 0xFFFFFFFF) >> 1, (at & 1).astype(bool)
+            for lo in range(0, len(at), CUTS):
+                here = slice(lo, lo + CUTS)
+                w, f, n = which[here], firsts[here], counts[here]
+                found = [texts[i][a:b] for i, a, b in zip(w.tolist(), f.tolist(), (f + n + LENGTH).tolist())]
+                kinds: list[bytes | None] = [None] * len(found)
+                for i in np.flatnonzero(hot[here]).tolist():
+                    kinds[i] = hashlib.blake2b(found[i], digest_size=16).digest()
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    if kinds[i] in seen:
+                        found[i] = None
+                    seen.add(kinds[i])
+                arrays = [buckets.slice(lo, CUTS), pa.array(keys[w]), pa.array(f.astype(np.int32)), pa.array((f + n).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(found, pa.binary()), pa.array(kinds, pa.binary())], names=["bucket", "key", "first", "last", "piece", "kind"])
 
     joined = docs.join(places, docs["key"] == places["k"]).select("key", "data", "places")
     schema = "bucket bigint, key bigint, first int, last int, piece binary, kind binary"
@@ -334,7 +359,7 @@ def _cold(pieces: DataFrame) -> DataFrame:
 
     def block(rows: list) -> pa.RecordBatch:
         keys, firsts, found = (np.concatenate([r[i] for r in rows]) for i in (1, 2, 3))
-        k, a, b = block_repeats(keys, firsts.astype(np.int64), found.tolist())
+        k, a, b = distinct_repeats(keys, firsts.astype(np.int64), found.tolist())
         return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["key", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,13 +430,16 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     spark = docs.sparkSession
     slim = docs.select(F.col(key).cast("bigint").alias("key"), utf8(F.col(text)).alias("data")).filter("key is not null")
     copies = _copies(slim)
-    buckets = _counted(slim)
+    runs = _runs(slim)
+    buckets = _counted(runs)
     _release(spark)
     copied = copies.select(F.col("key").alias("c"))
-    places = _runs(slim).join(buckets, F.col("bucket") == F.col("b")).groupBy("key").agg(F.collect_list(F.struct("first", "hot")).alias("places"))
-    places = stored(places.join(copied, F.col("key") == F.col("c"), "left_anti").select(F.col("key").alias("k"), "places"), "places")
+    places = _places(runs, buckets).join(copied, F.col("key") == F.col("c"), "left_anti")
+    places = stored(places.select(F.col("key").alias("k"), "places"), "places")
+    discard(runs, buckets)
     _release(spark)
     pieces = _pieces(slim, places)
+    discard(places)
     _release(spark)
     found = _cold(pieces).unionByName(_hot(pieces)).unionByName(copies)
     spans = stored(found.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "repeats")
