@@ -63,21 +63,26 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op7_sql() -> str:
-    rows = ", ".join("('{}', [{}])".format(k, ", ".join(f"'{g}'" for g in licenses.bigrams(t))) for k, t in sorted(licenses.TEMPLATES.items()))
-    t = licenses.THRESHOLD
+    def row(name: str, text: str) -> str:
+        grams = licenses.bigrams(text)
+        return "('{}', {}, {}, {}, [{}])".format(name, len(grams), *licenses.bounds(len(grams)), ", ".join(f"'{g}'" for g in grams))
+
+    rows = ", ".join(row(k, t) for k, t in sorted(licenses.TEMPLATES.items()))
     return rf"""
-with t(license, g) as (values {rows}),
-d as (select doc_id, lower(coalesce(text, '')) as x from documents),
-u as (
-  select distinct doc_id, trim(regexp_replace(unit, '[^a-z0-9]+', ' ', 'g')) as unit from (
-    select doc_id, unnest(string_split(x, chr(10))) as unit from d
-    union all select doc_id, p from (select doc_id, unnest(string_split_regex(x, '\n[ \t\r]*\n')) as p from d) where contains(p, chr(10))
-    union all select doc_id, x from d where contains(x, chr(10)))),
-w as (select doc_id, unit, string_split(unit, ' ') as w from u),
-b as (select doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as b from w where len(w) > 1),
-s as (select doc_id, license, 2.0::double * len(list_intersect(g, b)) / (len(g) + len(b)) as dice from b join t on len(b) between len(g) * {t / (2 - t)} and len(g) * {(2 - t) / t}),
-h as (select doc_id, license, max(dice) as dice from s where dice >= {t} group by all),
-a as (select doc_id, string_agg(license, ',' order by license) as licenses, count(*) as n, max(dice) as dice from h group by doc_id)
+with t(license, b, need, most, gs) as (values {rows}),
+g as (select license, b, need, most, unnest(gs) as g from t),
+d as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') as w from documents),
+x as (select doc_id, i, w[i] || ' ' || w[i + 1] as g from (select doc_id, w, unnest(range(1, len(w))) as i from d)),
+h as (select doc_id, license, b, need, most, i, x.g from x join g on x.g = g.g),
+r as (select *, row_number() over o as k, coalesce(lag(i) over o <> i - 1, true) as opens, coalesce(lead(i) over o <> i + 1, true) as closes, lead(i) over o as nxt
+  from h window o as (partition by doc_id, license order by i)),
+p as (select s.doc_id, s.license, s.b, s.i as lo, e.i as hi from r s join r e on s.doc_id = e.doc_id and s.license = e.license
+  where s.opens and e.i >= s.i and e.i - s.i < s.most and e.k - s.k + 1 >= s.need
+    and (e.closes or (e.i - s.i < s.b and coalesce(e.nxt - s.i >= s.b, true)))),
+q as (select p.doc_id, p.license, p.lo, p.hi, 2.0::double * count(distinct h.g) / (any_value(p.b) + p.hi - p.lo + 1) as dice
+  from p join h on h.doc_id = p.doc_id and h.license = p.license and h.i between p.lo and p.hi group by p.doc_id, p.license, p.lo, p.hi),
+m as (select doc_id, license, max(dice) as dice from q where dice >= {licenses.THRESHOLD} group by doc_id, license),
+a as (select doc_id, string_agg(license, ',' order by license) as licenses, count(*) as n, max(dice) as dice from m group by doc_id)
 select d.doc_id, coalesce(licenses, '') as licenses, coalesce(n, 0)::bigint as n_licenses, coalesce(dice, 0.0)::double as best_dice from d left join a on d.doc_id = a.doc_id
 """
 
