@@ -37,6 +37,8 @@ WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028
 
 #: States of the piece transducer that are kept; beyond it they are made anew.
 MAX_STATES = 400_000
+#: Bytes of a piece beyond which its states are not remembered.
+LONG_PIECE = 1000
 
 
 def character_classes() -> np.ndarray:
@@ -198,7 +200,24 @@ class PieceTransducer:
             ok = self.fits[a, b] = self.merge(a + b) == [a, b]
         return ok
 
+    def _long(self, piece: bytes) -> int:
+        """tokens_of() a piece of any length: the same transitions, but of its
+        states only the last are kept, as many as the longest token is long."""
+        size = self.longest + 1
+        last, count = [b""] * size, [0] * size
+        for end in range(1, len(piece) + 1):
+            for n in range(min(self.longest, end), 0, -1):
+                token, before = self.tokens.get(piece[end - n : end]), (end - n) % size
+                if token is not None and (end == n or self.compatible(last[before], token)):
+                    last[end % size], count[end % size] = token, (count[before] if end > n else 0) + 1
+                    break
+            else:
+                raise ValueError(f"no token ends {piece[max(0, end - 50) : end]!r}")
+        return count[len(piece) % size]
+
     def tokens_of(self, piece: bytes) -> int:
+        if len(piece) > LONG_PIECE:
+            return self._long(piece)
         if len(self.last) > MAX_STATES:
             self.clear()
         path, state, total = [0], 0, 0
@@ -270,9 +289,8 @@ class Counter:
         known = self.known
         if len(known) > MAX_STATES:
             known.clear()
-        for p in set(pieces):
-            if p not in known:
-                known[p] = self.pieces.tokens_of(p.encode("utf-8", "replace"))
+        for p in set(pieces).difference(known):
+            known[p] = self.pieces.tokens_of(p.encode("utf-8", "replace"))
         n = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
         n[np.isin(at, ends, assume_unique=True)] = 0  # the ends themselves
         sums = np.append(0, np.cumsum(n))
