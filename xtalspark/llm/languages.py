@@ -79,8 +79,9 @@ class Model:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = TRAIN_ROWS) -> Model:
     """Fit the trigram model on a bounded, seeded sample of labelled rows.
 
-    Rows without a label or text are left out. The driver receives counts by
-    (bin, language), at most BINS * MAX_LANGUAGES numbers.
+    Rows without a label or text are left out; if none is left, the model has no
+    languages. The driver receives counts by (bin, language), at most
+    BINS * MAX_LANGUAGES numbers, as Arrow columns.
     """
     known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, text, lang)
     share = min(1.0, rows / max(1, known.count()))
@@ -90,7 +91,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         raise ValueError(f"more than {MAX_LANGUAGES} labels in the sample")
     languages = sorted(r[0] for r in top)
     if not languages:
-        raise ValueError("no labelled text to fit a language model on")
+        return Model([], np.zeros((0, BINS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -104,8 +105,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     parts = sample.filter(F.col(lang).isin(languages)).select(text, lang).mapInArrow(run, "lang string, bin bigint, n bigint")
     counts = np.zeros((len(languages), BINS))
     at = {x: i for i, x in enumerate(languages)}
-    for r in parts.groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect():
-        counts[at[r["lang"]], r["bin"]] = r["n"]
+    found = parts.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
+    counts[[at[x] for x in found["lang"].to_pylist()], found["bin"].to_numpy()] = found["n"].to_numpy()
     return Model(languages, counts)
 
 
@@ -148,8 +149,12 @@ def identify(pages: DataFrame, model: Model, key: str = "page_id", url: str = "u
     A page without text is judged by its declaration, suffix and host alone; one
     without an address shares the host ''. Ties go to the language first in
     order. Repeated rows count as pages of their own. An empty table gives none.
+    Under a model without languages lang, confidence and text_lang are null.
     """
     names, n = model.languages, len(model.languages)
+    if not names:
+        said = evidence(pages, model, key, url, html)
+        return said.select(key, F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("text_lang"), "declared", "host", "suffix", "n_chars")
     seen = stored(evidence(pages, model, key, url, html).withColumn("p", _normalised(F.col("ll"))), "languages")
     # Suffixes and declarations are parts of the address and the markup; each
     # table of them is stored and joined by key, split by Spark where it is hot.
