@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,6 +26,8 @@ from .common import scratch, stored
 MAGIC = b"\x1f\x8b\x08"
 SPLIT = 16 << 20
 BLOCK = 1 << 20
+#: Tasks of a read at most; further ranges are dealt over them.
+MAX_TASKS = 20_000
 
 
 def payload_digest(data: bytes) -> str:
@@ -105,6 +108,8 @@ def _member(window: _Window, pos: int) -> tuple[bytes, int] | None:
     while not inflate.eof:
         data = window.at(at, BLOCK // 16 if at == pos else BLOCK)
         if not data:
+            if b"".join(parts[:1])[:5] == b"WARC/":
+                raise ValueError(f"the member at {pos} is cut off")
             return None
         try:
             part = inflate.decompress(data)
@@ -126,6 +131,50 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields.get("content-length", 0))]
 
 
+def _unchunked(body: bytes) -> bytes:
+    """The data of a chunked transfer; what does not parse stays as it is."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]+", size):
+            return body
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+
+
+def payload_of(fields: dict[str, str], content: bytes) -> bytes:
+    """The payload of a record's content: what follows the head of an HTTP message, its chunks
+    joined; the content itself of any other record."""
+    if not fields.get("content-type", "").lower().startswith("application/http"):
+        return content
+    head, gap, body = content.partition(b"\r\n\r\n")
+    if not gap:
+        return b""
+    chunked = re.search(rb"^transfer-encoding:[^\r\n]*\bchunked\b", head, re.I | re.M)
+    return _unchunked(body) if chunked else body
+
+
+def _agrees(digest: str, fields: dict[str, str], content: bytes) -> bool:
+    """Whether a payload digest (algorithm:value) is that of the payload, chunks joined or not;
+    algorithms that are not known cannot disagree."""
+    name, _, value = digest.partition(":")
+    name = name.lower().replace("-", "")
+    if not value or name not in ("sha1", "sha256", "sha512", "md5"):
+        return True
+    bodies = {payload_of(fields, content)}
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        bodies.add(content.partition(b"\r\n\r\n")[2])
+    for body in bodies:
+        found = hashlib.new(name, body).digest()
+        if value.rstrip("=").upper() == base64.b32encode(found).decode().rstrip("=") or value.lower() == found.hex():
+            return True
+    return False
+
+
 def scan_range(uri: str, size: int, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(offset, header fields, content) of the records that start in [start, end)."""
     system, path = _open(uri)
@@ -161,13 +210,16 @@ _RECORD = T.StructType(
 
 
 def read(manifest: DataFrame, split: int = SPLIT, content: bool = True) -> DataFrame:
-    """Records of the archives in manifest (path, n_bytes), a task for each run of ranges.
+    """Records of the archives in manifest (path, n_bytes), by ranges dealt over MAX_TASKS tasks at most.
 
-    Bytes that are no WARC member are passed over; an empty manifest gives no rows.
+    Bytes that are no WARC member are passed over; an empty manifest gives no rows. A member
+    that the file's end cuts off, or whose payload is not its digest's, is an error. Records
+    of HTTP messages have the message's body as content and payload, and the digest keeps
+    its algorithm's name unless that is SHA-1.
     """
     starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_bytes") - 1, F.lit(split).cast("bigint")))
     ranges = manifest.filter("n_bytes > 0").select("path", "n_bytes", starts.alias("start"))
-    ranges = ranges.repartition(max(1, ranges.count()), "path", "start")
+    ranges = ranges.repartition(min(MAX_TASKS, max(1, ranges.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = pa.schema([("path", pa.string()), ("offset", pa.int64()), *((n, pa.string()) for n in ("record_type", "record_id", "target_uri", "payload_digest")), ("payload_bytes", pa.int64()), ("refers_to", pa.string()), ("content", pa.binary())])
@@ -175,9 +227,10 @@ def read(manifest: DataFrame, split: int = SPLIT, content: bool = True) -> DataF
             for r in batch.to_pylist():
                 rows, held = [], 0
                 for offset, f, data in scan_range(r["path"], r["n_bytes"], r["start"], min(r["start"] + split, r["n_bytes"])):
-                    digest = f.get("warc-payload-digest", "").removeprefix("sha1:")
-                    if f.get("warc-type") == "response" and digest and digest != payload_digest(data):
+                    digest = f.get("warc-payload-digest", "")
+                    if f.get("warc-type") == "response" and not _agrees(digest, f, data):
                         raise ValueError(f"{r['path']} at {offset}: the payload differs from its digest")
+                    digest, data = digest.removeprefix("sha1:"), payload_of(f, data)
                     rows.append({"path": r["path"], "offset": offset, "record_type": f.get("warc-type"), "record_id": f.get("warc-record-id"), "target_uri": f.get("warc-target-uri"), "payload_digest": digest, "payload_bytes": int(f.get("x-payload-length", len(data))), "refers_to": f.get("warc-refers-to"), "content": data if content else None})
                     held += len(data)
                     if held > 8 << 20 or len(rows) >= 5000:
@@ -189,6 +242,13 @@ def read(manifest: DataFrame, split: int = SPLIT, content: bool = True) -> DataF
     return ranges.select("path", "n_bytes", "start").mapInArrow(run, _RECORD)
 
 
+def missing(manifest: DataFrame, records: DataFrame) -> DataFrame:
+    """(path, n_records, n_read): archives of which not as many records were read as written."""
+    n = records.groupBy("path").agg(F.count("*").alias("n_read"))
+    found = manifest.select("path", "n_records").join(n, "path", "left").withColumn("n_read", F.coalesce("n_read", F.lit(0)))
+    return found.filter("n_read <> n_records")
+
+
 def revisits(pages: DataFrame, least_bytes: int = 0, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Rows for write(): of pages with equal payloads of at least least_bytes the
     one of the largest key is the response and the others revisit it.
