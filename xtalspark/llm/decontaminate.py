@@ -12,7 +12,8 @@ what winnowing guarantees, they are looked up at every position.
 The benchmark is held in blocks of at most BLOCK_WORDS words, each with its
 fingerprints and windows in one broadcast of bounded size. There is one pass
 over the documents for each block, so a benchmark of any size is compared
-whole; the usual one fits one block.
+whole; the usual one fits one block. Of several passes each is written out, and its
+broadcast dropped, before the next.
 """
 
 from __future__ import annotations
@@ -129,14 +130,18 @@ def _within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 _HITS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("window", T.BinaryType())]))
 
 
-def _blocks(benchmark: DataFrame, text: str) -> Iterator[list[str]]:
-    """Texts by block: few enough words in each, most often all in one."""
+def _blocks(benchmark: DataFrame, text: str) -> tuple[int, Iterator[list[str]]]:
+    """The number of blocks, most often one, and the texts of each: few enough words."""
     sized = benchmark.select(F.col(text).alias("t"), (F.length(F.coalesce(F.col(text), F.lit(""))) + 1).alias("n"))
     total = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_blocks = 1 + total // (2 * BLOCK_WORDS)  # a word and its gap have 2 characters or more
-    for b in range(n_blocks):
-        part = sized if n_blocks == 1 else sized.filter(F.pmod(F.xxhash64("t"), F.lit(n_blocks)) == b)
-        yield [r[0] for r in part.select("t").filter(F.col("t").isNotNull()).distinct().toLocalIterator()]
+
+    def texts() -> Iterator[list[str]]:
+        for b in range(n_blocks):
+            part = sized if n_blocks == 1 else sized.filter(F.pmod(F.xxhash64("t"), F.lit(n_blocks)) == b)
+            yield [r[0] for r in part.select("t").filter(F.col("t").isNotNull()).distinct().toLocalIterator()]
+
+    return n_blocks, texts()
 
 
 def find_windows(df: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", n_words: str = "n_words", hits: str = "hits") -> DataFrame:
@@ -148,7 +153,8 @@ def find_windows(df: DataFrame, benchmark: DataFrame, text: str = "text", item_t
     out = df.drop(n_words, hits)
     kept = out.columns
     parts = []
-    for i, texts in enumerate(_blocks(benchmark, item_text)):
+    n_blocks, blocks = _blocks(benchmark, item_text)
+    for i, texts in enumerate(blocks):
         block = spark.sparkContext.broadcast(Block([words_of(t) for t in texts]))
         names = [n_words] * (not i) + [f"{hits}:{i}"]
         kinds = [T.LongType()] * (not i) + [_HITS]
@@ -166,6 +172,9 @@ def find_windows(df: DataFrame, benchmark: DataFrame, text: str = "text", item_t
                 yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *names])
 
         out = out.mapInArrow(run, schema)
+        if n_blocks > 1:
+            out = stored(out, "block")
+            block.unpersist()
         parts.append(f"`{hits}:{i}`")
     return out.select(*(f"`{c}`" for c in kept), f"`{n_words}`", F.concat(*parts).alias(hits))
 
