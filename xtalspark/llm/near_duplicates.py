@@ -274,7 +274,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
 
     Null and wordless texts are each a class alone; a null key has the class
     null. Rows with equal words, repeated rows with them, are of one class.
-    An empty table gives none. Keys are taken to name one text.
+    An empty table gives none. Keys are numbers or strings, and are taken to name one text.
     """
     docs = docs.select(key, text)
     all_rows = stored(signatures(docs, key, text), "signatures")
@@ -293,10 +293,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
         label = reps.select("digest", F.col("rep").alias("class_id"))
     else:
         # A document first meets the best of its leaders only.
-        lead = members.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("doc")).alias("doc"))).alias("s"))
-        lead = stored(lead.select(F.col("bucket").alias("k"), (-F.col("s.doc")).alias("leader"), F.col("s.met").alias("lead_met")), "leaders")
+        lead = members.groupBy("bucket").agg(F.min(F.struct((-F.col("met")).alias("less"), "doc")).alias("s"))
+        lead = stored(lead.select(F.col("bucket").alias("k"), F.col("s.doc").alias("leader"), F.col("s.less").alias("less")), "leaders")
         led = members.join(lead, F.col("bucket") == F.col("k")).filter(F.col("doc") != F.col("leader"))
-        best = led.groupBy("doc").agg(F.max(F.struct("lead_met", (-F.col("leader")).alias("n"))).alias("s")).select("doc", (-F.col("s.n")).alias("leader"))
+        best = led.groupBy("doc").agg(F.min(F.struct("less", "leader")).alias("s")).select("doc", F.col("s.leader").alias("leader"))
         pairs = best.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
         with_a = pairs.join(texts, F.col("a") == F.col("d")).select("a", "b", F.col("t").alias("text_a"))
         with_b = with_a.join(texts, F.col("b") == F.col("d")).select("a", "b", "text_a", F.col("t").alias("text_b"))
