@@ -29,7 +29,7 @@ def length(points):
     return float(np.linalg.norm(np.diff(p, axis=0), axis=1).sum())
 
 
-@pytest.mark.parametrize("name", ["wrap_points", "family_summary", "burgers_family", "line_length", "network_statistics", "junction_arms", "half_edge_link", "replaced_chain", "clip_pbc_lines", "lattice_catalogue"])
+@pytest.mark.parametrize("name", ["wrap_points", "family_summary", "burgers_family", "line_length", "network_statistics", "junction_arms", "half_edge_link", "replaced_chain", "clip_pbc_lines", "lattice_catalogue", "crystal_path_vectors", "compatible_cells", "transition_compose", "circuit_burgers", "edge_direction_lookup", "defect_slots"])
 def test_queries_run(spark, name):
     assert queries.QUERIES[name](spark, DATA).count() > 0
 
@@ -50,8 +50,16 @@ def test_bbox_overlap_takes_cells_of_any_size(spark, few_orders):
         corners = np.array([at[r[f"v{i}"]] for i in range(4)])
         lo, hi = corners.min(0), corners.max(0)
         want |= {(r["cell"], k) for k, p in at.items() if (lo <= np.array(p) + 1).all() and (np.array(p) - 1 <= hi).all()}
-    got = [tuple(r) for r in queries.bbox_overlap(spark, few_orders).select("cell", "atom_idx").collect()]
-    assert want and len(got) == len(set(got)) and set(got) == want
+    boxes = tess.bounding_boxes(queries._tet_points(spark, few_orders))
+    around = views.atoms(spark, few_orders)
+    for x in "xyz":
+        around = around.withColumn(f"lo_{x}", F.col(x) - 1).withColumn(f"hi_{x}", F.col(x) + 1)
+    for size in (6.0, 25.0):
+        got = [tuple(r) for r in tess.box_overlaps(boxes, around, size, "cell", "atom_idx").select("cell", "atom_idx").collect()]
+        assert want and len(got) == len(set(got)) and set(got) == want
+    told = {r["cell"]: (r["n_atoms"], r["atom_sum"], r["last_atom"]) for r in queries.bbox_overlap(spark, few_orders).collect()}
+    by = {c: [k for d, k in want if d == c] for c in {c for c, _ in want}}
+    assert told == {c: (len(k), sum(k), max(k)) for c, k in by.items()}
 
 
 def test_reachability_starts_from_every_vertex(spark, few_orders):
@@ -64,8 +72,13 @@ def test_reachability_starts_from_every_vertex(spark, few_orders):
         for n, reached in enumerate([{v}, near[v], {y for x in near[v] for y in near[x]}]):
             for x in reached:
                 want.setdefault((v, x), n)
-    got = [tuple(r) for r in queries.reachability_depth2(spark, few_orders).select("src", "dst", "hops").collect()]
+    e = views.edges(spark, few_orders)
+    every = elastic.both_ways(e).select("frame_id", "v").distinct()
+    got = [tuple(r) for r in elastic.reachable(e, every, 2).select("src", "at", "hops").collect()]
     assert len(got) == len(want) and {(a, b): n for a, b, n in got} == want
+    for r in queries.reachability_depth2(spark, few_orders).collect():
+        at = [[b for (a, b), n in want.items() if a == r["src"] and n == k] for k in (1, 2)]
+        assert (r["n1"], r["n2"], r["sum1"], r["sum2"] or 0) == (*map(len, at), *map(sum, at))
 
 
 def test_every_family_is_named_and_near_misses_are_not(spark):
@@ -130,8 +143,9 @@ def test_delaunay_fills_the_hull_with_empty_spheres(spark):
     cells = delaunay.delaunay(df).filter("frame_id = 1").toPandas()
     finite = cells[cells.is_finite]
     for t in finite[["v0", "v1", "v2", "v3"]].to_numpy():
-        a, b, c, r = delaunay._sphere(pts.tolist(), tuple(t))
-        assert (((pts - [a, b, c]) ** 2).sum(axis=1) < r * (1 - 1e-9)).sum() == 0
+        p = pts[t]
+        c = np.linalg.solve(2 * (p[1:] - p[0]), ((p[1:] - p[0]) ** 2).sum(axis=1))
+        assert (((pts - p[0] - c) ** 2).sum(axis=1) < c @ c * (1 - 1e-9)).sum() == 0
     near = finite[["n0", "n1", "n2", "n3"]].to_numpy()
     for c, row in zip(finite.cell, near):
         for n in row:

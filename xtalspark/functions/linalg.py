@@ -39,6 +39,11 @@ def point(v: Vec) -> Column:
     return F.struct(v[0].alias("x"), v[1].alias("y"), v[2].alias("z"))
 
 
+def let(value: Column, body) -> Column:
+    """body of value, which is worked out once for a row however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def add(a: Vec, b: Vec) -> Vec:
     return tuple(x + y for x, y in zip(a, b))
 

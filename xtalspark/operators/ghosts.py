@@ -27,34 +27,42 @@ def primary_points(atoms: DataFrame, cells: DataFrame, selected: str | None = No
     return joined.select("frame_id", F.col("atom_idx").alias("particle"), F.col("x").alias("ux"), F.col("y").alias("uy"), F.col("z").alias("uz"), *(m.alias(n) for m, n in zip(moved, "xyz")))
 
 
+def _slabs(cells: DataFrame, ghost: float) -> DataFrame:
+    """What the images of a frame's points need, as plain columns beside frame_id: edges e,
+    face normals n, heights h, slab limits lo and hi, the most shifts c, periodic p."""
+    cell, fields = F.col("cell"), []
+    for d in range(3):
+        n, e = C.normal(cell, d), C.edge(cell, d)
+        low = la.dot(n, C.origin(cell))
+        height = la.dot(n, e)
+        count = F.when(C.periodic(cell, d), F.ceil(F.lit(ghost) / F.abs(height))).otherwise(F.lit(0)).cast("int")
+        fields += [x.alias(f"e{d}{a}") for x, a in zip(e, "xyz")] + [x.alias(f"n{d}{a}") for x, a in zip(n, "xyz")]
+        fields += [height.alias(f"h{d}"), (F.least(low, low + height) - ghost).alias(f"lo{d}"), (F.greatest(low, low + height) + ghost).alias(f"hi{d}"), count.alias(f"c{d}"), C.periodic(cell, d).alias(f"p{d}")]
+    return cells.select("frame_id", *fields)
+
+
 def ghost_images(points: DataFrame, cells: DataFrame, ghost: float) -> DataFrame:
     """Images of points (frame_id, particle, x, y, z) within ghost of the cell.
 
-    The number of shifts depends on the cell alone and the slab filter is applied
-    as they are made, so rows grow by the ghost layer's share of the volume only.
+    A frame's slabs are worked out once; a point's shifts along an edge are filtered
+    before they are exploded, so rows grow by the ghost layer's share of the volume only.
     """
-    joined = C.with_cell(points, cells)
-    cell = F.col("cell")
-    shifts, kept = [], []
-    for d in range(3):
-        n = C.normal(cell, d)
-        count = F.when(C.periodic(cell, d), F.ceil(F.lit(ghost) / F.abs(la.dot(C.edge(cell, d), n)))).otherwise(F.lit(0)).cast("int")
-        shifts.append(F.sequence(-count, count))
-    # Dimensions one after the other: what leaves the slab in one goes no further
-    # only if the normals are those of the reduced axes, which they are.
-    out = joined
+    out = points.select("frame_id", "particle", "x", "y", "z").join(_slabs(cells, ghost), "frame_id")
+    s = {c: F.col(c) for c in out.columns}
     for d, axis in enumerate("abc"):
-        n = C.normal(cell, d)
-        low = la.dot(n, C.origin(cell))
-        high = low + la.dot(n, C.edge(cell, d))
-        at = la.dot(n, la.add((F.col("x"), F.col("y"), F.col("z")), la.scale(C.edge(cell, d), F.col(f"__{axis}"))))
-        inside = ~C.periodic(cell, d) | ((at >= F.least(low, high) - ghost) & (at <= F.greatest(low, high) + ghost))
-        out = out.withColumn(f"__{axis}", F.explode(shifts[d])).filter(inside)
-        kept.append(F.col(f"__{axis}"))
-    s = tuple(k.cast("double") for k in kept)
-    image = la.add((F.col("x"), F.col("y"), F.col("z")), C.absolute_vector(cell, s))
-    out = out.filter((kept[0] != 0) | (kept[1] != 0) | (kept[2] != 0))
-    return out.select("frame_id", "particle", *(v.alias(n) for v, n in zip(image, "xyz")), *(k.alias(f"shift_{a}") for k, a in zip(kept, "abc")))
+        at = F.col("x") * s[f"n{d}x"] + F.col("y") * s[f"n{d}y"] + F.col("z") * s[f"n{d}z"]
+        out = out.withColumn(f"__at{d}", at)
+
+    def within(d: int):
+        place = lambda k: F.col(f"__at{d}") + k * s[f"h{d}"]
+        return lambda k: ~s[f"p{d}"] | ((place(k) >= s[f"lo{d}"]) & (place(k) <= s[f"hi{d}"]))
+
+    for d, axis in enumerate("abc"):
+        out = out.withColumn(f"__{axis}", F.explode(F.filter(F.sequence(-s[f"c{d}"], s[f"c{d}"]), within(d))))
+    k = [F.col(f"__{axis}") for axis in "abc"]
+    image = [F.col(a) + (k[0] * s[f"e0{a}"] + k[1] * s[f"e1{a}"] + k[2] * s[f"e2{a}"]) for a in "xyz"]
+    out = out.filter((k[0] != 0) | (k[1] != 0) | (k[2] != 0))
+    return out.select("frame_id", "particle", *(v.alias(n) for v, n in zip(image, "xyz")), *(x.alias(f"shift_{a}") for x, a in zip(k, "abc")))
 
 
 def cover_corners(points: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 
 from ..functions import cell as C
 from ..functions import linalg as la
+from . import tess
 from .elastic import cut_lineage, lookup_edges
+from .indexing import dense_index
 from .tess import FACETS, rotated
 
 UNWRAP_EPSILON = 1e-6
@@ -31,6 +33,48 @@ def link_opposites(edges: DataFrame) -> DataFrame:
     return own.join(other, ["frame_id", "v1", "v2", "__n"], "left").select(*edges.columns, "opp_face", "opp_slot")
 
 
+def link_around_edges(faces: DataFrame, cells: DataFrame) -> DataFrame:
+    """Half-edges of faces with opp_face, opp_slot: the face reached by turning around the
+    edge through the cells of the face's own region.
+
+    faces are (frame_id, face, a, b, c, cell, facet); cells (frame_id, cell, v0..v3, a0..a3, region)
+    have the corners of the tessellation and their atoms. At each edge a cell has two facets;
+    one enters by one and leaves by the other, into the next cell if that is of the same
+    region, else that facet is the answer. Answers spread by pointer doubling. A facet of a
+    cell outside the mesh (an image) stands for the face of the same atoms.
+    """
+    solid = tess.neighbors_of(cells, "region").filter("region <> 0")
+    doors = solid.select("frame_id", "cell", F.col("face").alias("out"), (F.col("other_cell").isNotNull() & (F.col("other_region") == F.col("region"))).alias("inner"), (F.col("other_cell") * 4 + F.col("other_face")).alias("next"))
+    turns = []
+    for f, (x, y, z) in enumerate(FACETS):
+        for slot, (i, j, k) in enumerate(((x, y, z), (y, z, x), (z, x, y))):
+            turns.append(F.struct(F.lit(f).alias("facet"), F.lit(slot).alias("slot"), F.lit(k).alias("out"), F.least(f"v{i}", f"v{j}").alias("p"), F.greatest(f"v{i}", f"v{j}").alias("q")))
+    darts = cells.filter("region <> 0").select("frame_id", "cell", F.explode(F.array(*turns)).alias("t")).select("frame_id", "cell", "t.*")
+    own = faces.select("frame_id", "cell", "facet", "face")
+    starts = cut_lineage(darts.join(own, ["frame_id", "cell", "facet"]).select("frame_id", "p", "q", "face", "slot", (F.col("cell") * 4 + F.col("facet")).alias("at")))
+    around = darts.join(starts.select("frame_id", "p", "q").distinct(), ["frame_id", "p", "q"], "left_semi").join(doors, ["frame_id", "cell", "out"])
+    here = F.col("cell") * 4
+    walk = cut_lineage(around.select("frame_id", "p", "q", (here + F.col("facet")).alias("at"), F.when(F.col("inner"), F.col("next")).alias("next"), F.when(~F.col("inner"), here + F.col("out")).alias("end")))
+    for _ in range(10):  # up to 1024 cells around an edge
+        if walk.filter("end is null and next is not null").isEmpty():
+            break
+        far = walk.select("frame_id", "p", "q", F.col("at").alias("next"), F.col("next").alias("__next"), F.col("end").alias("__end"))
+        walk = walk.join(far, ["frame_id", "p", "q", "next"], "left")
+        walk = cut_lineage(walk.select("frame_id", "p", "q", "at", F.when(F.col("end").isNull(), F.col("__next")).alias("next"), F.coalesce("end", "__end").alias("end")))
+    ends = starts.join(walk.select("frame_id", "p", "q", "at", "end"), ["frame_id", "p", "q", "at"], "left").withColumn("__cell", F.floor(F.col("end") / 4)).withColumn("__facet", (F.col("end") % 4).cast("int"))
+    direct = own.select("frame_id", F.col("cell").alias("__cell"), F.col("facet").alias("__facet"), F.col("face").alias("__direct"))
+    # Corners of facets as atoms, to name the face that an image stands for.
+    named = cells.filter("region <> 0").select("frame_id", "cell", *(F.col(f"a{i}").alias(f"v{i}") for i in range(4)))
+    image = canonical_faces(tess.facets(named).select("frame_id", F.col("cell").alias("__cell"), F.col("face").alias("__facet"), "a", "b", "c"))
+    by_atoms = canonical_faces(faces.select("frame_id", "face", "a", "b", "c")).groupBy("frame_id", "a", "b", "c").agg(F.min("face").alias("__image"))
+    found = ends.join(direct, ["frame_id", "__cell", "__facet"], "left").join(image, ["frame_id", "__cell", "__facet"], "left").join(by_atoms, ["frame_id", "a", "b", "c"], "left")
+    across = found.select("frame_id", "face", "slot", F.coalesce("__direct", "__image").alias("opp_face"))
+    half = half_edges(faces)
+    back = half.select("frame_id", F.col("face").alias("opp_face"), F.col("slot").alias("opp_slot"), F.col("v1").alias("v2"), F.col("v2").alias("v1"))
+    linked = half.join(across, ["frame_id", "face", "slot"], "left").join(back, ["frame_id", "opp_face", "v1", "v2"], "left")
+    return linked.select(*half.columns, F.when(F.col("opp_slot").isNotNull(), F.col("opp_face")).alias("opp_face"), "opp_slot")
+
+
 def watertight(linked: DataFrame) -> DataFrame:
     return linked.groupBy("frame_id").agg(F.bool_and(F.col("opp_face").isNotNull()).alias("is_closed"), F.count_if(F.col("opp_face").isNull()).alias("n_open"))
 
@@ -43,8 +87,9 @@ def canonical_faces(faces: DataFrame) -> DataFrame:
 
 def mesh_from_interface(facets: DataFrame) -> DataFrame:
     """(frame_id, face, a, b, c, cell, facet): interface facets numbered in the order of (cell, facet)."""
-    number = F.row_number().over(Window.partitionBy("frame_id").orderBy("cell", "face")) - 1
-    return facets.select("frame_id", number.alias("number"), "a", "b", "c", "cell", F.col("face").alias("facet")).withColumnRenamed("number", "face")
+    rows = facets.select("frame_id", F.floor(F.col("cell") / 4096).alias("__part"), "cell", F.col("face").alias("facet"), "a", "b", "c")
+    numbered = dense_index(rows, ["frame_id"], "__part", ["cell", "facet"], "face")
+    return numbered.select("frame_id", F.col("face").cast("int").alias("face"), "a", "b", "c", "cell", "facet")
 
 
 def edge_vectors(edges: DataFrame, points: DataFrame, boxes: DataFrame, records: DataFrame) -> DataFrame:
@@ -97,8 +142,8 @@ def make_manifold(faces: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataF
     size = fans.groupBy("frame_id", "v").agg(F.count("*").alias("n"), F.min("fan").alias("own"))
     split = fans.join(size, ["frame_id", "v"]).filter("n >= 3 and fan <> own").select("frame_id", "v", "fan").distinct()
     top = faces.select("frame_id", F.greatest("a", "b", "c").alias("m")).groupBy("frame_id").agg(F.max("m").alias("top"))
-    number = F.row_number().over(Window.partitionBy("frame_id").orderBy("v", "fan"))
-    named = split.join(top, "frame_id").select("frame_id", "v", "fan", (F.col("top") + number).alias("new"))
+    number = dense_index(split.withColumn("__part", F.floor(F.col("v") / 4096)), ["frame_id"], "__part", ["v", "fan"], "number")
+    named = number.join(top, "frame_id").select("frame_id", "v", "fan", (F.col("top") + 1 + F.col("number")).cast("int").alias("new"))
     moved = fans.join(named, ["frame_id", "v", "fan"], "left").select("frame_id", "face", "slot", F.coalesce("new", "v").alias("w"), "v")
     corner = moved.groupBy("frame_id", "face").agg(*(F.max(F.when(F.col("slot") == i, F.col("w"))).alias(n) for i, n in enumerate("abc")))
     rest = [c for c in faces.columns if c not in ("a", "b", "c")]
@@ -113,8 +158,9 @@ def defect_mesh(faces: DataFrame, caps: DataFrame) -> DataFrame:
     gone = F.col("circuit_id").isNotNull() & ((F.col("flag").bitwiseAND(F.lit(1)) != 0) | ~F.coalesce("circuit_dangling", F.lit(False)))
     kept = faces.filter(~gone).select("frame_id", "face", "a", "b", "c")
     top = faces.groupBy("frame_id").agg(F.max("face").alias("top"))
-    number = F.row_number().over(Window.partitionBy("frame_id").orderBy("apex", "v1", "v2"))
-    fan = caps.join(top, "frame_id", "left").select("frame_id", (F.coalesce("top", F.lit(-1)) + number).alias("face"), F.col("v2").alias("a"), F.col("v1").alias("b"), F.col("apex").alias("c"))
+    number = dense_index(caps.withColumn("__part", F.floor(F.col("apex") / 4096)), ["frame_id"], "__part", ["apex", "v1", "v2"], "number")
+    new = (F.coalesce("top", F.lit(-1)) + 1 + F.col("number")).cast("int")
+    fan = number.join(top, "frame_id", "left").select("frame_id", new.alias("face"), F.col("v2").alias("a"), F.col("v1").alias("b"), F.col("apex").alias("c"))
     return kept.unionByName(fan)
 
 
@@ -132,8 +178,8 @@ def unwrap_faces(faces: DataFrame, points: DataFrame, boxes: DataFrame) -> tuple
     moved = ~la.is_zero(tuple(x - F.col(a) for x, a in zip(at, "xyz")), UNWRAP_EPSILON)
     j = j.select("frame_id", "face", "slot", "v", moved.alias("moved"), *(F.when(moved, x).otherwise(F.col(a)).alias(a) for x, a in zip(at, "xyz")))
     top = points.groupBy("frame_id").agg(F.max("v").alias("top"))
-    number = F.row_number().over(Window.partitionBy("frame_id").orderBy("face", "slot"))
-    new = j.filter("moved").join(top, "frame_id").select("frame_id", "face", "slot", (F.col("top") + number).alias("point"), "x", "y", "z", F.col("v").alias("of"))
+    number = dense_index(j.filter("moved").withColumn("__part", F.floor(F.col("face") / 4096)), ["frame_id"], "__part", ["face", "slot"], "number")
+    new = number.join(top, "frame_id").select("frame_id", "face", "slot", (F.col("top") + 1 + F.col("number")).cast("int").alias("point"), "x", "y", "z", F.col("v").alias("of"))
     all_points = points.select("frame_id", F.col("v").alias("point"), "x", "y", "z", F.col("v").alias("of")).unionByName(new.select("frame_id", "point", "x", "y", "z", "of"))
     named = j.join(new.select("frame_id", "face", "slot", "point"), ["frame_id", "face", "slot"], "left").withColumn("point", F.coalesce("point", "v"))
     facets = named.groupBy("frame_id", "face").agg(*(F.max(F.when(F.col("slot") == i, F.col("point"))).alias(n) for i, n in enumerate("abc")))

@@ -84,8 +84,18 @@ def claim_core_cells(triangles: DataFrame, cells: DataFrame, size: float) -> Dat
     return first.join(cells.select("frame_id", "cell", *(f"v{i}" for i in range(4))), ["frame_id", "cell"])
 
 
-def circuit_fans(edges: DataFrame, centres: DataFrame) -> DataFrame:
-    """Triangles of each circuit edge with the circuit's centre: edges (frame_id, fan,
-    segment_id, circuit_id, p, q as structs), centres (frame_id, circuit_id, x, y, z)."""
-    c = centres.select("frame_id", "circuit_id", F.struct("x", "y", "z").alias("q2"))
-    return edges.join(c, ["frame_id", "circuit_id"]).select("frame_id", "fan", "segment_id", F.col("p").alias("q0"), F.col("q").alias("q1"), "q2")
+def circuit_triangles(segments: DataFrame) -> DataFrame:
+    """Triangles (frame_id, fan, stored, dangling, segment_id, q0, q1, q2) of the fans of traced segments."""
+    f = segments.select("frame_id", "segment_id", F.explode("fans").alias("f")).select("frame_id", "segment_id", "f.*")
+    at = lambda i: F.get("ring", i)
+    sides = F.transform(F.sequence(F.lit(0), F.size("ring") - 1), lambda i: F.struct(at(i).alias("p"), at((i + 1) % F.size("ring")).alias("q")))
+    t = f.select("frame_id", "fan", "stored", "dangling", "segment_id", "centre", F.explode(sides).alias("s"))
+    corner = lambda c: F.struct(*(F.get(c, F.lit(i)).alias(a) for i, a in enumerate("xyz")))
+    return t.select("frame_id", "fan", "stored", "dangling", "segment_id", corner(F.col("s.p")).alias("q0"), corner(F.col("s.q")).alias("q1"), corner(F.col("centre")).alias("q2"))
+
+
+def core_claims(segments: DataFrame, cells: DataFrame, size: float) -> DataFrame:
+    """Cells claimed by traced segments; a claim made after its dangling end was capped is void."""
+    t = circuit_triangles(segments)
+    claims = claim_core_cells(t.withColumn("segment_id", F.struct("segment_id", (F.col("stored") & F.col("dangling")).alias("void"))), cells, size)
+    return claims.filter("not segment_id.void").withColumn("segment_id", F.col("segment_id.segment_id"))

@@ -10,7 +10,8 @@ from ..functions import linalg as la
 from ..functions.linalg import Vec
 from .indexing import dense_index
 
-# Local corners of the facet opposite each corner, facing outwards.
+# Local corners of the facet opposite each corner; in a positively oriented cell they turn
+# counterclockwise as that corner sees them.
 FACETS = ((1, 3, 2), (0, 2, 3), (0, 3, 1), (0, 1, 2))
 # Local corners of the six edges.
 EDGES = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))
@@ -36,21 +37,21 @@ def corner_positions(cells: DataFrame, vertices: DataFrame, key: str = "vh") ->
     return cells.join(back, ["frame_id", "cell"])
 
 
-def tessellation_edges(cells: DataFrame, points: DataFrame | None = None, boxes: DataFrame | None = None) -> DataFrame:
+def tessellation_edges(cells: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
     """Distinct undirected edges (frame_id, v1 < v2) of cells that are not ghosts.
 
-    With points (frame_id, atom_idx, x, y, z) and prepared cells of the frames, edges
-    longer than half the box on a periodic dimension go.
+    With prepared cells of the frames, edges longer than half the box on a periodic
+    dimension go, measured between the corners p0..p3: an image stands where it is.
     """
     real = cells.filter(~F.col("is_ghost")) if "is_ghost" in cells.columns else cells
-    ends = F.explode(F.array(*(F.struct(F.least(f"v{a}", f"v{b}").alias("v1"), F.greatest(f"v{a}", f"v{b}").alias("v2")) for a, b in EDGES))).alias("e")
-    edges = real.select("frame_id", ends).select("frame_id", "e.v1", "e.v2").filter("v1 <> v2").distinct()
-    if points is None:
-        return edges
-    ends = [points.select("frame_id", F.col("atom_idx").alias(f"v{i}"), F.struct("x", "y", "z").alias(f"p{i}")) for i in (1, 2)]
-    joined = C.with_cell(edges.join(ends[0], ["frame_id", "v1"]).join(ends[1], ["frame_id", "v2"]), boxes)
-    delta = la.sub(la.xyz("p2"), la.xyz("p1"))
-    return joined.filter(~C.is_wrapped(F.col("cell"), delta)).select("frame_id", "v1", "v2")
+    ends = lambda a, b: (F.least(f"v{a}", f"v{b}").alias("v1"), F.greatest(f"v{a}", f"v{b}").alias("v2"))
+    if boxes is None:
+        rows = F.explode(F.array(*(F.struct(*ends(a, b)) for a, b in EDGES))).alias("e")
+        return real.select("frame_id", rows).select("frame_id", "e.v1", "e.v2").filter("v1 <> v2").distinct()
+    step = lambda a, b: [x.alias(n) for x, n in zip(la.sub(la.xyz(f"p{b}"), la.xyz(f"p{a}")), "xyz")]
+    rows = F.explode(F.array(*(F.struct(*ends(a, b), *step(a, b)) for a, b in EDGES))).alias("e")
+    joined = C.with_cell(real.select("frame_id", rows).select("frame_id", "e.*").filter("v1 <> v2"), boxes)
+    return joined.filter(~C.is_wrapped(F.col("cell"), (F.col("x"), F.col("y"), F.col("z")))).select("frame_id", "v1", "v2").distinct()
 
 
 def ghost_cell(particles: list[Column], ghosts: list[Column]) -> Column:
@@ -60,26 +61,49 @@ def ghost_cell(particles: list[Column], ghosts: list[Column]) -> Column:
     return F.array_min(F.array(*(corner(p, g, i) for i, (p, g) in enumerate(zip(particles, ghosts)))))["g"]
 
 
+def _square(x: Column) -> Column:
+    return la.let(x, lambda v: v * v)
+
+
+def _radius(sides: list[Vec], squares: Vec) -> tuple[Column, Column]:
+    """Numerator and denominator of the squared circumradius of a tetrahedron, from the three
+    edges that leave a corner and their squared lengths."""
+    q, r, s = sides
+    q2, r2, s2 = squares
+    part = lambda i, j: _square(la.det3((q[i], q[j], q2), (r[i], r[j], r2), (s[i], s[j], s2)))
+    return part(1, 2) + part(0, 2) + part(0, 1), 4.0 * _square(la.det3(q, r, s))
+
+
 def squared_radius(p: list[Vec]) -> tuple[Column, Column]:
     """Numerator and denominator of the squared circumradius of a tetrahedron."""
-    q, r, s = (la.sub(x, p[0]) for x in p[1:])
-    q2, r2, s2 = (la.dot(x, x) for x in (q, r, s))
-    part = lambda i, j: la.det3((q[i], q[j], q2), (r[i], r[j], r2), (s[i], s[j], s2))
-    nx, ny, nz = part(1, 2), part(0, 2), part(0, 1)
-    den = la.det3(q, r, s)
-    return nx * nx + ny * ny + nz * nz, 4.0 * den * den
+    sides = [la.sub(x, p[0]) for x in p[1:]]
+    return _radius(sides, tuple(la.dot(x, x) for x in sides))
 
 
 def alpha_test(p: list[Vec], alpha) -> Column:
-    """Squared circumradius < alpha; null if the tetrahedron is degenerate."""
-    num, den = squared_radius(p)
-    flat = (F.abs(num) < DEGENERATE) & (F.abs(den) < DEGENERATE)
-    return F.when(flat, F.lit(None).cast("boolean")).when(den == 0.0, F.lit(False)).otherwise(num / F.nullif(den, F.lit(0.0)) < alpha)
+    """Squared circumradius < alpha; null if the tetrahedron is degenerate.
+
+    Differences and their squares, then the two determinants' squares, are bound as
+    variables: written out, the expression would be too large to compile.
+    """
+    q, r, s = (la.sub(x, p[0]) for x in p[1:])
+    sides = F.struct(*(x.alias(f"{n}{a}") for n, v in zip("qrs", (q, r, s)) for x, a in zip(v, "xyz")))
+
+    def from_sides(d: Column) -> Column:
+        v = [tuple(d[f"{n}{a}"] for a in "xyz") for n in "qrs"]
+        return la.let(F.array(*(la.dot(x, x) for x in v)), lambda w: la.let(la.packed(_radius(v, la.vec(w))), tell))
+
+    def tell(f: Column) -> Column:
+        num, den = F.get(f, F.lit(0)), F.get(f, F.lit(1))
+        flat = (F.abs(num) < DEGENERATE) & (F.abs(den) < DEGENERATE)
+        return F.when(flat, F.lit(None).cast("boolean")).when(den == 0.0, F.lit(False)).otherwise(num / F.nullif(den, F.lit(0.0)) < alpha)
+
+    return la.let(sides, from_sides)
 
 
 def facets(cells: DataFrame, *keep: str) -> DataFrame:
     """(frame_id, cell, face, a, b, c, lo, mid, hi, keep...): four facets of each
-    cell, corners in outward order and sorted."""
+    cell, corners in the order of FACETS and sorted."""
     rows = []
     for f, corners in enumerate(FACETS):
         a, b, c = (F.col(f"v{i}") for i in corners)
@@ -199,6 +223,11 @@ def box_overlaps(left: DataFrame, right: DataFrame, size: float, left_id: str, r
     return pairs.filter(meets & once).select("frame_id", F.col("l_id").alias(left_id), F.col("r_id").alias(right_id))
 
 
+def defect_cells(region: Column, finite: Column, corners: list[Vec], distance) -> Column:
+    """Whether a cell is of a defect: finite, in no crystal, and small for the neighbour distance."""
+    return finite & (region == 0) & F.coalesce(alpha_test(corners, CORE_ALPHA_SCALE * distance), F.lit(False))
+
+
 def defect_slots(cells: DataFrame, condition: Column, bucket: str = "v0") -> DataFrame:
     """Append slot: dense index of cells that meet the condition, -1 for others."""
     hit = dense_index(cells.filter(condition), ["frame_id"], bucket, ["cell"], "slot").select("frame_id", "cell", "slot")

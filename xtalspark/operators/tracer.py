@@ -3,8 +3,8 @@
 A circuit is a closed ring of half-edges whose ideal vectors do not add up to
 zero; it is swept over the mesh in both directions, and its centres are the line.
 The order of steps matters, so a frame is worked through in sequence; frames
-run side by side. Secondary circuits around holes between circuits are not
-looked for yet: a line that ends at such a hole stays dangling.
+run side by side. Where several circuits leave a hole between them, a secondary
+circuit around it is made; its line starts at theirs and goes on into the hole.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ EYE = np.eye(3)
 SCHEMA = (
     "frame_id bigint, segment_id int, line array<struct<x:double,y:double,z:double>>, core_size array<int>, bx double, by double, bz double, "
     "cluster_id int, n_pre int, n_post int, nodes array<struct<side:string,ring_id:bigint,edge_count:int,is_dangling:boolean,is_blocked:boolean,cap:array<int>>>, "
-    "faces array<struct<face:int,flag:int>>"
+    "faces array<struct<face:int,flag:int,dangling:boolean>>, fans array<struct<fan:int,stored:boolean,dangling:boolean,centre:array<double>,ring:array<array<double>>>>"
 )
 
 
@@ -90,12 +90,15 @@ class Line:
         self.cores: list[int] = []
         self.ends: list[Circuit] = []
         self.replaced: Line | None = None
-        self.faces: list[tuple[int, int]] = []
+        self.faces: list[tuple[int, int, Circuit]] = []
 
 
 class Tracer:
-    def __init__(self, mesh: Surface, wrap, max_trial: int = 14, stretch: int = 9) -> None:
+    """Works through one mesh; with fans, remembers the circuit at each point of a line."""
+
+    def __init__(self, mesh: Surface, wrap, max_trial: int = 14, stretch: int = 9, fans: bool = False) -> None:
         self.mesh, self.wrap, self.max_trial, self.stretch = mesh, wrap, max_trial, stretch
+        self.fans: list[tuple[Circuit, bool, np.ndarray, list[int]]] | None = [] if fans else None
         self.owner: list[Circuit | None] = [None] * len(mesh.tail)
         self.swept: list[Circuit | None] = [None] * (len(mesh.tail) // 3)
         self.lines: list[Line] = []
@@ -175,12 +178,96 @@ class Tracer:
         for c in line.ends:
             for h in c.ring:
                 self.owner[h] = c
-        centre = mesh.centre(ring)
-        line.points, line.cores = [centre], [len(ring)]
+        self.begin(line, limit)
+        return True
+
+    def begin(self, line: Line, limit: int) -> None:
+        """The first points of a line, one of each circuit unless they are the same, and its sweep both ways."""
+        ahead, behind = line.ends
+        line.points, line.cores = [self.mesh.centre(behind.ring)], [len(behind.ring)]
         self.lines.append(line)
+        if {self.mesh.tail[h] for h in ahead.ring} != {self.mesh.tail[h] for h in behind.ring}:
+            self.append(ahead)
         for c in line.ends:
             self.trace(c, limit, True)
-        return True
+
+    # -- secondary circuits
+
+    def hole(self, c: Circuit, h: int, limit: int) -> list[int] | None:
+        """The ring around the hole that lies beyond half-edge h of a circuit, if it is bounded by
+        several circuits and has a Burgers vector: all its edges are opposite to edges of circuits."""
+        mesh = self.mesh
+        ring, edge, met = [], mesh.opp[h], {c}
+        first = edge
+        while True:
+            g, steps = mesh.opp[edge], 0
+            if g < 0:
+                return None
+            g = mesh.before(g)
+            while self.owner[g] is None:  # turn around the head of the edge up to the next circuit
+                g = mesh.opp[g]
+                steps += 1
+                if g < 0 or steps > 1000:
+                    return None
+                g = mesh.before(g)
+            met.add(self.owner[g])
+            edge = mesh.opp[g]
+            if edge < 0 or self.owner[edge] is not None:
+                return None
+            ring.append(edge)
+            if edge == first:
+                break
+            if len(ring) > limit:
+                return None
+        if len(met) < 2 or len(ring) < 3 or len(ring) > limit:
+            return None
+        b, closes = mesh.fold(ring)
+        open_ring = np.abs(mesh.step[ring].sum(axis=0)).max() > ATOM_EPSILON
+        return None if not closes or open_ring or np.abs(b).max() <= LATTICE_EPSILON else ring
+
+    def strip(self, ring: list[int]) -> tuple[list[int], list[int]] | None:
+        """(inner ring, facets): the far side of the strip of facets across the ring, turning the
+        other way; None if the strip is taken or has no inner ring."""
+        mesh = self.mesh
+        inner, facets = [], []
+        n = len(ring)
+        for i in reversed(range(n)):
+            a, b = mesh.opp[ring[i]], mesh.opp[ring[(i + 1) % n]]
+            facets.append(a // 3)
+            if a // 3 != b // 3:
+                inner += [mesh.opp[mesh.after(b)], mesh.opp[mesh.before(a)]]
+        facets = list(dict.fromkeys(facets))
+        inner = [h for k, h in enumerate(inner) if h != inner[k - 1]]
+        free = all(h >= 0 and self.owner[h] is None for h in inner) and len(set(inner)) == len(inner)
+        if len(inner) < 3 or not free or any(self.swept[f] is not None for f in facets):
+            return None
+        if any(mesh.head[h] != mesh.tail[g] for h, g in zip(inner, inner[1:] + inner[:1])):
+            return None
+        return inner, facets
+
+    def secondary(self, limit: int) -> int:
+        """Lines that start where several circuits surround a hole."""
+        made = 0
+        for c in [c for x in self.lines if x.replaced is None for c in x.ends if c.dangling and c.ring]:
+            for h in list(c.ring):
+                o = self.mesh.opp[h]
+                if self.owner[h] is not c or o < 0 or self.owner[o] is not None:
+                    continue
+                ring = self.hole(c, h, limit)
+                back = ring and self.strip(ring)
+                if not back:
+                    continue
+                line = Line(self.mesh.fold(ring)[0], self.mesh.cluster[ring[0]])
+                line.ends = [Circuit(ring, line, True), Circuit(back[0], line, False)]
+                for end in line.ends:
+                    for g in end.ring:
+                        self.owner[g] = end
+                for f in back[1]:
+                    self.swept[f] = line.ends[1]
+                    line.faces.append((f, 1, line.ends[1]))
+                self.begin(line, limit)
+                made += 1
+        return made
 
     def find(self, limit: int) -> None:
         """New circuits of at most limit edges, shortest search trees first by vertex."""
@@ -238,7 +325,7 @@ class Tracer:
             self.owner[h] = c
         for f in facets:
             self.swept[f] = c
-            c.line.faces.append((f, int(primary)))
+            c.line.faces.append((f, int(primary), c))
 
     def append(self, c: Circuit) -> None:
         """The circuit's centre, at the image nearest to the line's end."""
@@ -249,6 +336,8 @@ class Tracer:
         line.points.insert(where, at)
         line.cores.insert(where, len(c.ring))
         c.tentative += 1
+        if self.fans is not None:
+            self.fans.append((c, c.cap is not None, at, list(c.ring)))
 
     def trace(self, c: Circuit, limit: int, primary: bool) -> None:
         while True:
@@ -350,6 +439,7 @@ class Tracer:
                 self.trace(c, limit, limit <= self.max_trial)
             if limit % 2 and limit <= self.max_trial:
                 self.find(limit)
+            self.secondary(limit)
             self.join()
             if limit >= self.max_trial:
                 for c in dangling:
@@ -358,8 +448,21 @@ class Tracer:
         return [x for x in self.lines if x.replaced is None]
 
 
-def trace_frame(edges: pd.DataFrame, vertices: pd.DataFrame, max_trial: int, stretch: int) -> pd.DataFrame:
-    columns = [c.split()[0] for c in "frame_id segment_id line core_size bx by bz cluster_id n_pre n_post nodes faces".split()]
+def _fans_by_line(tracer: Tracer) -> dict[Line, list[dict]]:
+    """What regions.circuit_triangles takes, under the lines that the circuits ended up in."""
+    out: dict[Line, list[dict]] = {}
+    mesh = tracer.mesh
+    for n, (c, stored, centre, ring) in enumerate(tracer.fans or ()):
+        line = c.line
+        while line.replaced is not None:
+            line = line.replaced
+        near = [(centre + tracer.wrap(mesh.at[mesh.tail[h]] - centre)).tolist() for h in ring]
+        out.setdefault(line, []).append({"fan": n, "stored": stored, "dangling": c.dangling, "centre": centre.tolist(), "ring": near})
+    return out
+
+
+def trace_frame(edges: pd.DataFrame, vertices: pd.DataFrame, max_trial: int, stretch: int, fans: bool = False) -> pd.DataFrame:
+    columns = "frame_id segment_id line core_size bx by bz cluster_id n_pre n_post nodes faces fans".split()
     if not len(edges) or not len(vertices):
         return pd.DataFrame(columns=columns)
     e = edges.sort_values(["face", "slot"]).reset_index(drop=True)
@@ -385,32 +488,34 @@ def trace_frame(edges: pd.DataFrame, vertices: pd.DataFrame, max_trial: int, str
         [0 if pd.isna(c) else int(c) for c in e["c1"]],
         {v: np.array([x, y, z]) for v, x, y, z in zip(vertices["v"], vertices["x"], vertices["y"], vertices["z"])},
     )
-    tracer = Tracer(mesh, wrap, max_trial, stretch)
+    tracer = Tracer(mesh, wrap, max_trial, stretch, fans)
     if not all(known):  # edges without an ideal vector can be in no circuit
         for h in itertools.compress(range(len(known)), (not k for k in known)):
             tracer.owner[h] = Circuit([], Line(np.zeros(3), 0), True)
-    rows = []
-    for i, x in enumerate(tracer.run()):
+    rows, traced = [], tracer.run()
+    by_line = _fans_by_line(tracer)
+    for i, x in enumerate(traced):
         nodes = [{"side": "fwd" if c.ahead else "bwd", "ring_id": tracer.rings.get(c), "edge_count": len(c.ring), "is_dangling": c.dangling, "is_blocked": c.blocked, "cap": [int(h) for h in c.cap] if c.cap else None} for c in x.ends]
         pre = sum(c.tentative for c in x.ends if not c.ahead and c.dangling)
         post = sum(c.tentative for c in x.ends if c.ahead and c.dangling)
-        faces = [{"face": int(names[3 * f]), "flag": flag} for f, flag in x.faces]
+        faces = [{"face": int(names[3 * f]), "flag": flag, "dangling": c.dangling} for f, flag, c in x.faces]
         line = [{"x": a, "y": b, "z": d} for a, b, d in np.array(x.points).tolist()]
-        rows.append((edges["frame_id"].iloc[0], i, line, [int(n) for n in x.cores], *x.b.tolist(), x.cluster, pre, post, nodes, faces))
+        rows.append((edges["frame_id"].iloc[0], i, line, [int(n) for n in x.cores], *x.b.tolist(), x.cluster, pre, post, nodes, faces, by_line.get(x, [])))
     return pd.DataFrame(rows, columns=columns)
 
 
-def trace(edges: DataFrame, vertices: DataFrame, boxes: DataFrame, max_trial: int = 14, stretch: int = 9) -> DataFrame:
+def trace(edges: DataFrame, vertices: DataFrame, boxes: DataFrame, max_trial: int = 14, stretch: int = 9, fans: bool = False) -> DataFrame:
     """Segments of each frame from half-edges (mesh.link_opposites of mesh.edge_vectors),
     mesh vertices (frame_id, v, x, y, z) and prepared cells.
 
     Rows have the columns that network.finish_segments takes, nodes (their circuits,
-    with the cap of a dangling end) and the faces swept, with flag 1 by primary ones.
+    with the cap of a dangling end), the faces swept, with flag 1 by primary ones and whether that circuit dangles, and, if
+    asked for, fans: the circuit around each point, numbered in the order of tracing.
     """
     cols = ["frame_id", "face", "slot", "v1", "v2", "opp_face", "opp_slot", "px", "py", "pz", "cv", "c1", "c2", "rtm"]
     at = vertices.join(boxes, "frame_id").select("frame_id", "v", "x", "y", "z", F.col("cell")["m"].alias("m"), F.col("cell")["pbc"].alias("pbc"))
 
     def run(e: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        return trace_frame(e, v, max_trial, stretch)
+        return trace_frame(e, v, max_trial, stretch, fans)
 
     return edges.select(*cols).groupBy("frame_id").cogroup(at.groupBy("frame_id")).applyInPandas(run, SCHEMA)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.cell import parse_rescale
 
@@ -84,7 +87,18 @@ class DxaOptions:
         return cls.from_mapping(given), rest
 
     def require(self) -> None:
-        """Raise unless what every run needs is given."""
-        for name in ("reference_topology",):
+        """Raise unless what every run needs is given and within its limits."""
+        for name in ("reference_topology", "clusters_table", "clusters_transitions", "neighbor_lattice"):
             if not getattr(self, name):
                 raise ValueError(f"--{name} is required")
+        if self.max_trial_circuit_size < 3 or self.circuit_stretchability < 0 or self.crystal_path_steps < 1:
+            raise ValueError("circuits have 3 edges and paths 1 step at least, and circuits do not shrink")
+        for name in ("ghost_layer_scale", "interface_alpha_scale", "line_smoothing_level", "line_point_interval"):
+            if getattr(self, name) < 0:
+                raise ValueError(f"--{name} must not be negative")
+
+    def named(self, lattices: DataFrame) -> DxaOptions:
+        """These options with the catalogue's spelling of the reference topology, if it has it."""
+        wanted = self.reference_topology.strip().lower()
+        found = lattices.filter(F.lower("name") == wanted).select("name").first()
+        return replace(self, reference_topology=found["name"]) if found else self

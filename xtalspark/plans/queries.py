@@ -87,8 +87,10 @@ def min_image_delta(spark: SparkSession, d: str) -> DataFrame:
     for i in (1, 2):
         e = e.join(a.select("frame_id", F.col("atom_idx").alias(f"v{i}"), F.struct("x", "y", "z").alias(f"p{i}")), ["frame_id", f"v{i}"])
     j, cell = C.with_cell(e, box(spark)), F.col("cell")
-    delta = la.sub(la.xyz("p2"), la.xyz("p1"))
-    return j.select("v1", "v2", *(r6(x).alias(f"d{a}") for a, x in zip("xyz", C.wrap_vector(cell, delta))), *((x + 0.0).alias(f"s{a}") for a, x in zip("xyz", C.shift_vector(cell, delta))), C.is_wrapped(cell, delta).alias("wrapped"))
+    r = C.reduced_vector(cell, la.sub(la.xyz("p2"), la.xyz("p1")))
+    j = j.select("v1", "v2", "cell", *(x.alias(f"r{i}") for i, x in enumerate(r)))
+    r = tuple(F.col(f"r{i}") for i in range(3))
+    return j.select("v1", "v2", *(r6(x).alias(f"d{a}") for a, x in zip("xyz", C.wrap_reduced(cell, r))), *((x + 0.0).alias(f"s{a}") for a, x in zip("xyz", C.shift_reduced(cell, r))), C.reduced_is_wrapped(cell, r).alias("wrapped"))
 
 
 @query(with_views("dv_atoms", "select atom_idx, round(x/1.1::double,6)+0.0::double x, round(y/0.9::double,6)+0.0::double y, round(z/1.25::double,6)+0.0::double z, round((x/1.1::double)*1.1::double,6)+0.0::double bx from dv_atoms"))
@@ -183,23 +185,31 @@ def euler_characteristic(spark: SparkSession, d: str) -> DataFrame:
     return tess.euler_characteristic(tess.interface_facets(V.cells(spark, d))).drop("frame_id")
 
 
-@query(with_views("dv_tets", "select cell, case when cell%3=0 then (row_number() over (partition by cell%3=0 order by cell)-1)::bigint else -1::bigint end slot from dv_tets"))
+_DEFECT = _ALPHA.replace("400.0", "210.0")
+_REGION = "(v0+v1*3+v2*5+v3*7)%2"
+
+
+@query(with_views("dv_tets dv_atoms", f"with ok as ({_DEFECT}), d as (select t.cell, coalesce(alpha_ok, false) and {_REGION}=0 and t.cell%5<>0 hit from dv_tets t join ok on ok.cell=t.cell) select cell, case when hit then (row_number() over (partition by hit order by cell)-1)::bigint else -1::bigint end slot from d"))
 def defect_slots(spark: SparkSession, d: str) -> DataFrame:
     """P16, W1"""
-    return tess.defect_slots(V.tets(spark, d), F.col("cell") % 3 == 0).select("cell", "slot")
+    t = _tet_points(spark, d)
+    region = (F.col("v0") + F.col("v1") * 3 + F.col("v2") * 5 + F.col("v3") * 7) % 2
+    hit = tess.defect_cells(region, F.col("cell") % 5 != 0, [la.xyz(f"p{i}") for i in range(4)], 60.0)
+    return tess.defect_slots(elastic.cut_lineage(t.withColumn("hit", hit).select("frame_id", "cell", "v0", "hit")), F.col("hit")).select("cell", "slot")
 
 
 _BOXES = " ".join(f", least(p0.{a},p1.{a},p2.{a},p3.{a}) lo_{a}, greatest(p0.{a},p1.{a},p2.{a},p3.{a}) hi_{a}" for a in "xyz")
 
 
-@query(with_views("dv_tets dv_atoms", f"with b as (select cell {_BOXES} from dv_tets {_CORNERS}), s as (select * from b where hi_x-lo_x<12 and hi_y-lo_y<12 and hi_z-lo_z<12), a as (select atom_idx, {', '.join(f'{x}-1 lo_{x}, {x}+1 hi_{x}' for x in 'xyz')} from dv_atoms) select s.cell, a.atom_idx from s join a on {' and '.join(f's.lo_{x}<=a.hi_{x} and a.lo_{x}<=s.hi_{x}' for x in 'xyz')}"))
+@query(with_views("dv_tets dv_atoms", f"with b as (select cell {_BOXES} from dv_tets {_CORNERS}), a as (select atom_idx, {', '.join(f'{x}-1 lo_{x}, {x}+1 hi_{x}' for x in 'xyz')} from dv_atoms) select b.cell, count(*) n_atoms, sum(a.atom_idx)::bigint atom_sum, max(a.atom_idx) last_atom from b join a on {' and '.join(f'b.lo_{x}<=a.hi_{x} and a.lo_{x}<=b.hi_{x}' for x in 'xyz')} group by b.cell"))
 def bbox_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """J11, A18"""
+    """J11, A18: all pairs of meeting boxes, told by cell"""
     b = tess.bounding_boxes(_tet_points(spark, d))
     a = V.atoms(spark, d)
     for x in "xyz":
         a = a.withColumn(f"lo_{x}", F.col(x) - 1).withColumn(f"hi_{x}", F.col(x) + 1)
-    return tess.box_overlaps(b, a, 6.0, "cell", "atom_idx").drop("frame_id")
+    pairs = tess.box_overlaps(b, a, 6.0, "cell", "atom_idx")
+    return pairs.groupBy("cell").agg(F.count("*").alias("n_atoms"), F.sum("atom_idx").alias("atom_sum"), F.max("atom_idx").alias("last_atom"))
 
 
 _ROUND = "select l.v, case when l.c<>0 then l.c else coalesce(m.c,0) end c from {0} l left join (select b.v, arg_max(o.c, b.nbr) c from dv_both b join {0} o on o.v=b.nbr where o.c<>0 group by b.v) m on m.v=l.v"
@@ -236,34 +246,136 @@ def label_propagation_fixpoint(spark: SparkSession, d: str) -> DataFrame:
     return elastic.propagate_labels(V.edges(spark, d), l0).select("v", "cluster_id")
 
 
-@query(with_views("dv_both", "with s as (select distinct v from dv_both where v%500=0), h1 as (select distinct s.v src, b.nbr dst from s join dv_both b on b.v=s.v where b.nbr<>s.v), h2 as (select distinct h1.src, b.nbr dst from h1 join dv_both b on b.v=h1.dst where b.nbr<>h1.src) select src, dst, min(hops)::int hops from (select v src, v dst, 0 hops from s union all select src, dst, 1 from h1 union all select src, dst, 2 from h2) group by all"))
+@query(with_views("dv_both", "with h as (select a.v src, b.nbr dst, 2 hops from dv_both a join dv_both b on b.v=a.nbr union all select v, nbr, 1 from dv_both union all select v, v, 0 from dv_both), r as (select src, dst, min(hops) hops from h group by all) select src, count(*) filter (where hops=1) n1, count(*) filter (where hops=2) n2, (sum(dst) filter (where hops=1))::bigint sum1, (sum(dst) filter (where hops=2))::bigint sum2 from r group by src"))
 def reachability_depth2(spark: SparkSession, d: str) -> DataFrame:
-    """G4, bounded expansion"""
+    """G4, bounded expansion from every vertex, told by source"""
     e = V.edges(spark, d)
-    s = elastic.both_ways(e).select("frame_id", "v").distinct()
-    return elastic.reachable(e, s, 2).select("src", F.col("at").alias("dst"), "hops")
+    r = elastic.reachable(e, elastic.both_ways(e).select("frame_id", "v").distinct(), 2)
+    at = lambda n: F.when(F.col("hops") == n, F.col("at"))
+    return r.groupBy("src").agg(*(F.count(at(n)).alias(f"n{n}") for n in (1, 2)), *(F.sum(at(n)).alias(f"sum{n}") for n in (1, 2)))
+
 
+def quarter_turn(k) -> list:
+    """Nine entries of the rotation by k quarters about z."""
+    cos = F.element_at(F.array(*map(F.lit, (1.0, 0.0, -1.0, 0.0))), (F.pmod(k, F.lit(4)) + 1).cast("int"))
+    sin = F.element_at(F.array(*map(F.lit, (0.0, 1.0, 0.0, -1.0))), (F.pmod(k, F.lit(4)) + 1).cast("int"))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return [cos, -sin, zero, sin, cos, zero, zero, zero, one]
 
-_TRANS = "select distinct (o_custkey%40)::int c1, ((o_custkey*7+3)%40)::int c2 from orders where o_custkey%40 <> (o_custkey*7+3)%40"
 
+_COS = lambda k: f"([1.0,0.0,-1.0,0.0]::double[])[((({k})%4+4)%4)::int+1]"
+_SIN = lambda k: f"([0.0,1.0,0.0,-1.0]::double[])[((({k})%4+4)%4)::int+1]"
+_TRANS = "select o_orderkey c1, (o_orderkey*7+3)%n c2 from orders cross join (select count(*) n from orders) where o_orderkey<n and o_orderkey<>(o_orderkey*7+3)%n"
 
-@query(f"with t0 as ({_TRANS}), t as (select c1,c2 from t0 union select c2,c1 from t0), p as (select c1,c2,1 d from t union all select a.c1,b.c2,2 from t a join t b on a.c2=b.c1 where a.c1<>b.c2 union all select a.c1,c.c2,3 from t a join t b on a.c2=b.c1 join t c on b.c2=c.c1 where a.c1<>c.c2) select c1, c2, min(d)::int distance from p group by all")
+
+@query(f"with t0 as ({_TRANS}), t as materialized (select c1,c2 from t0 union select c2,c1 from t0), p as (select c1,c2,1 d from t union all select a.c1,b.c2,2 from t a join t b on a.c2=b.c1 where a.c1<>b.c2 union all select a.c1,c.c2,3 from t a join t b on a.c2=b.c1 join t c on b.c2=c.c1 where a.c1<>c.c2), m as (select c1, c2, min(d) d from p group by all) select c1::int c1, c2::int c2, d::int distance, {_COS('c2%4-c1%4')}+0.0 m00, {_SIN('c2%4-c1%4')}+0.0 m10 from m")
 def transition_compose(spark: SparkSession, d: str) -> DataFrame:
-    """J5"""
-    k = F.col("o_custkey")
-    t = V.table(spark, d, "orders").select(V.frame(), (k % 40).cast("int").alias("c1"), ((k * 7 + 3) % 40).cast("int").alias("c2")).filter("c1 <> c2")
-    eye = F.array(*(F.lit(1.0 if i % 4 == 0 else 0.0) for i in range(9)))
-    both = t.union(t.select("frame_id", F.col("c2").alias("c1"), F.col("c1").alias("c2"))).distinct().withColumn("tm", eye).withColumn("distance", F.lit(1))
-    return elastic.close_transitions(both, 3).select("c1", "c2", "distance")
+    """J5: clusters turned by quarters about z; any path between two gives their turn"""
+    n = V.table(spark, d, "orders").count()
+    k = F.col("o_orderkey")
+    t = V.table(spark, d, "orders").filter(k < n).select(V.frame(), k.cast("int").alias("c1"), ((k * 7 + 3) % n).cast("int").alias("c2")).filter("c1 <> c2")
+    both = t.union(t.select("frame_id", F.col("c2").alias("c1"), F.col("c1").alias("c2"))).distinct()
+    turned = both.withColumn("tm", F.array(*quarter_turn(F.col("c2") % 4 - F.col("c1") % 4))).withColumn("distance", F.lit(1))
+    return elastic.close_transitions(turned, 3).select("c1", "c2", "distance", (F.get("tm", F.lit(0)) + 0.0).alias("m00"), (F.get("tm", F.lit(3)) + 0.0).alias("m10"))
 
 
-@query(with_views("dv_tets dv_edges", "select cell, v1 a, v0 b, case when v1<v0 then 1.0::double else -1.0::double end * (least(v0,v1)%9) as cx from dv_tets"))
+@query(with_views("dv_tets", f"with e as (select cell, v1 a, v0 b, v1<v0 ahead, (least(v0,v1)%9)::double x, (greatest(v0,v1)%5)::double y, (v0+v1)%4 k from dv_tets) select cell, a, b, case when ahead then x else -({_COS('k')}*x-{_SIN('k')}*y) end+0.0 cx, case when ahead then y else -({_SIN('k')}*x+{_COS('k')}*y) end+0.0 cy, case when ahead then {_SIN('k')} else {_SIN('-k')} end+0.0 tm10 from e"))
 def edge_direction_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """J4"""
-    eye = F.array(*(F.lit(1.0 if i % 4 == 0 else 0.0) for i in range(9)))
-    e = V.edges(spark, d).select("frame_id", "v1", "v2", F.array((F.col("v1") % 9).cast("double"), F.lit(0.0), F.lit(0.0)).alias("cv"), F.lit(1).alias("c1"), F.lit(1).alias("c2"), eye.alias("tm"), eye.alias("rtm"))
+    """J4: against its direction an edge's vector is negated and turned, its transition reversed"""
+    turn = F.col("v1") + F.col("v2")
+    vector = F.array((F.col("v1") % 9).cast("double"), (F.col("v2") % 5).cast("double"), F.lit(0.0))
+    e = V.edges(spark, d).select("frame_id", "v1", "v2", vector.alias("cv"), F.lit(1).alias("c1"), F.lit(2).alias("c2"), F.array(*quarter_turn(turn)).alias("tm"), F.array(*quarter_turn(-turn)).alias("rtm"))
     pairs = V.tets(spark, d).select("frame_id", "cell", F.col("v1").alias("a"), F.col("v0").alias("b"))
-    return elastic.lookup_edges(pairs, e).select("cell", "a", "b", F.get("cv", F.lit(0)).alias("cx"))
+    found = elastic.lookup_edges(pairs, e)
+    return found.select("cell", "a", "b", *((F.get("cv", F.lit(i)) + 0.0).alias(f"c{a}") for i, a in enumerate("xy")), (F.get("tm", F.lit(3)) + 0.0).alias("tm10"))
+
+
+#: A simple cubic crystal of side^3 atoms, one for each order; half of it is turned by a quarter
+#: about z (cluster 2), and lone atoms are in no cluster.
+_SIDE = "cast(floor(power(count(*), 1.0/3)+1e-9) as bigint)"
+_CUBE = f"""
+n as materialized (select {_SIDE} side from orders),
+pos as materialized (select o_orderkey i, o_orderkey%side x, (o_orderkey//side)%side y, o_orderkey//(side*side) z, side from orders, n where o_orderkey<side*side*side),
+"""
+
+
+def cube(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(atoms with places x, y, z, neighbours, clusters, transitions) of the cubic crystal."""
+    o = V.table(spark, d, "orders")
+    side = o.select(F.expr(_SIDE)).first()[0]
+    i = F.col("o_orderkey")
+    a = o.filter(i < side**3).select(V.frame(), i.cast("int").alias("atom_idx"), (i % side).alias("x"), (F.floor(i / side) % side).alias("y"), F.floor(i / (side * side)).alias("z"))
+    lone = (F.col("x") % 3 == 1) & (F.col("y") % 3 == 1) & (F.col("z") % 3 == 1)
+    a = a.withColumn("cluster_id", F.when(lone, 0).when(F.col("x") * 2 < side, 1).otherwise(2)).withColumn("side", F.lit(side))
+    steps = [(0, -1), (0, 1), (1, -1), (1, 1), (2, -1), (2, 1)]
+    rows = []
+    for slot, (axis, way) in enumerate(steps):
+        v = [float(way) if k == axis else 0.0 for k in range(3)]
+        turned = [-v[1], v[0], v[2]]  # a quarter turn
+        own = F.when(F.col("cluster_id") == 2, F.array(*map(F.lit, turned))).otherwise(F.array(*map(F.lit, v)))
+        there = F.col("xyz"[axis]) + way
+        to = (F.col("atom_idx") + way * side**axis).cast("int")
+        rows.append(F.when((there >= 0) & (there < side), F.struct(F.lit(slot).alias("slot"), to.alias("nbr_idx"), own.alias("lv"))))
+    near = a.select("frame_id", "atom_idx", F.explode(F.array_compact(F.array(*rows))).alias("n")).select("frame_id", "atom_idx", "n.*")
+    turn = lambda k: F.array(*quarter_turn(F.lit(k)))
+    moves = spark.range(1).select(V.frame(), F.explode(F.array(F.struct(F.lit(1).alias("c1"), F.lit(2).alias("c2"), turn(1).alias("tm"), F.lit(1).alias("distance")), F.struct(F.lit(2).alias("c1"), F.lit(1).alias("c2"), turn(-1).alias("tm"), F.lit(1).alias("distance")))).alias("t")).select("frame_id", "t.*")
+    return a, near, a.select("frame_id", "atom_idx", "cluster_id"), moves
+
+
+def _unturned(v: str, cluster: str) -> list:
+    """An ideal vector in the frame of cluster 1."""
+    x, y, z = (F.get(v, F.lit(i)) for i in range(3))
+    second = F.col(cluster) == 2
+    return [F.when(second, y).otherwise(x) + 0.0, F.when(second, -x).otherwise(y) + 0.0, z + 0.0]
+
+
+@query(f"with {_CUBE.strip()} s as (select unnest([{{'x':1,'y':0,'z':0}},{{'x':1,'y':1,'z':0}},{{'x':0,'y':-1,'z':1}},{{'x':-1,'y':0,'z':0}},{{'x':1,'y':1,'z':1}}]) s) select i::int a, (i+s.x+s.y*side+s.z*side*side)::int b, s.x::double vx, s.y::double vy, s.z::double vz, (abs(s.x)+abs(s.y)+abs(s.z))::int n_steps from pos, s where x+s.x between 0 and side-1 and y+s.y between 0 and side-1 and z+s.z between 0 and side-1")
+def crystal_path_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """J3, J6, G4: direct, reversed and longer paths in a crystal of two turned clusters with lone atoms"""
+    a, near, clusters, moves = cube(spark, d)
+    side = F.col("side")
+    to = [(1, 0, 0), (1, 1, 0), (0, -1, 1), (-1, 0, 0), (1, 1, 1)]
+    s = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"s{k}") for k, v in zip("xyz", t))) for t in to))).alias("s")
+    moved = a.select("*", s).select("*", "s.*")
+    inside = la.all_true((F.col(k) + F.col(f"s{k}")).between(F.lit(0), side - 1) for k in "xyz")
+    b = F.col("atom_idx") + F.col("sx") + F.col("sy") * side + F.col("sz") * side * side
+    pairs = moved.filter(inside).select("frame_id", F.col("atom_idx").alias("a"), b.cast("int").alias("b"))
+    p = elastic.crystal_paths(pairs, near, clusters, moves)
+    return p.select("a", "b", *(v.alias(n) for v, n in zip(_unturned("pv", "cluster"), ("vx", "vy", "vz"))), F.col("n_steps").cast("int").alias("n_steps"))
+
+
+#: Corners of the six cells of a cube around its diagonal, as steps from its first corner.
+_KUHN = [[(0, 0, 0), *(tuple(int(axis in order[:k]) for axis in range(3)) for k in (1, 2, 3))] for order in ((0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0))]
+_KUHN_SQL = ",".join("(" + ",".join(f"{x}+{y}*side+{z}*side*side" for x, y, z in t) + ")" for t in _KUHN)
+
+
+def _closes_sql() -> str:
+    """Whether the vectors of a cell's edges add up around its triangles: an edge whose ends add up to
+    a multiple of 23 is too long by one along x."""
+    bad = lambda i, j: f"(case when (v{i}+v{j})%23=0 then case when v{i}<v{j} then 1 else -1 end else 0 end)"
+    return " and ".join(f"{bad(i, j)}+{bad(j, k)}-{bad(i, k)}=0" for i, j, k in ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3)))
+
+
+_CELLS_SQL = " union all ".join(f"select (i*6+{k})::bigint cell, " + ", ".join(f"i+({x}+{y}*side+{z}*side*side) v{c}" for c, (x, y, z) in enumerate(t)) + " from pos where x+1<side and y+1<side and z+1<side" for k, t in enumerate(_KUHN))
+
+
+@query(f"with {_CUBE.strip()} c as ({_CELLS_SQL}) select cell, {_closes_sql()} compatible from c")
+def compatible_cells(spark: SparkSession, d: str) -> DataFrame:
+    """G3, P15: cells of the two turned clusters, some edges of a wrong length"""
+    a, near, clusters, moves = cube(spark, d)
+    side = F.col("side")
+    corner = lambda t: (F.col("atom_idx") + t[0] + t[1] * side + t[2] * side * side).cast("int")
+    tets = F.explode(F.array(*(F.struct((F.col("atom_idx").cast("bigint") * 6 + k).alias("cell"), *(corner(c).alias(f"v{i}") for i, c in enumerate(t))) for k, t in enumerate(_KUHN)))).alias("t")
+    inner = a.filter(la.all_true(F.col(k) + 1 < side for k in "xyz"))
+    cells = elastic.cut_lineage(inner.select("frame_id", tets).select("frame_id", "t.*"))
+    edges = elastic.cut_lineage(tess.tessellation_edges(cells))
+    labels = elastic.propagate_labels(edges, clusters.withColumnRenamed("atom_idx", "v"))
+    paths = elastic.crystal_paths(edges.select("frame_id", F.col("v1").alias("a"), F.col("v2").alias("b")), near, clusters, moves)
+    longer = (F.col("a") + F.col("b")) % 23 == 0
+    x = [F.when(longer, F.when(F.col("cluster") == 2, F.lit(v2)).otherwise(F.lit(v1))).otherwise(F.lit(0.0)) for v1, v2 in ((1.0, 0.0), (0.0, 1.0))]
+    paths = paths.withColumn("pv", F.array(F.get("pv", F.lit(0)) + x[0], F.get("pv", F.lit(1)) + x[1], F.get("pv", F.lit(2))))
+    vectors = elastic.ideal_vectors(edges, labels, paths, elastic.close_transitions(moves))
+    return elastic.compatible_cells(cells, elastic.cut_lineage(vectors)).select("cell", "compatible")
 
 
 _LEN = "with s as (select *, x-lag(x) over w dx, y-lag(y) over w dy, z-lag(z) over w dz from dv_line_points window w as (partition by segment_id order by seq)), l as (select segment_id, coalesce(sum(sqrt(dx*dx+dy*dy+dz*dz)),0.0)::double length, count(*) n from s group by 1)"
@@ -415,10 +527,11 @@ def core_atom_ids(spark: SparkSession, d: str) -> DataFrame:
     return regions.core_atom_ids(claims, V.atoms(spark, d)).select("atom_idx", "dislocation_id")
 
 
-@query("select o_orderkey segment_id, 0::bigint root from orders")
+@query("with recursive r as (select o_orderkey segment_id, o_orderkey root from orders where o_orderkey%5=0 or o_orderkey//3=o_orderkey union all select o.o_orderkey, r.root from orders o join r on o.o_orderkey//3=r.segment_id where o.o_orderkey%5<>0 and o.o_orderkey//3<>o.o_orderkey) select * from r")
 def replaced_chain(spark: SparkSession, d: str) -> DataFrame:
     """J15"""
-    o = V.table(spark, d, "orders").select(V.frame(), F.col("o_orderkey").alias("segment_id"), F.expr("o_orderkey div 3").alias("replaced_with"))
+    k = F.col("o_orderkey")
+    o = V.table(spark, d, "orders").select(V.frame(), k.alias("segment_id"), F.when(k % 5 != 0, F.expr("o_orderkey div 3")).alias("replaced_with"))
     return network.chase_replaced(o).select("segment_id", "root")
 
 
@@ -472,10 +585,9 @@ def circuit_centre(spark: SparkSession, d: str) -> DataFrame:
     return network.circuit_centres(e).select("circuit_id", *((F.round(a, 4) + 0.0).alias(a) for a in "xyz"))
 
 
-@query(with_views("dv_line_points", "select segment_id circuit_id, count(*)::int edge_count, " + ", ".join(f"round(sum({a}),4)+0.0::double sum_{a}" for a in "xyz") + ", true closes from dv_line_points group by 1"))
+@query(with_views("dv_line_points", f"with s as (select *, case when core%2=0 then 0 else core end k from dv_line_points), c as (select *, coalesce(sum(k) over (partition by segment_id order by seq rows between unbounded preceding and 1 preceding), 0)::bigint m from s) select segment_id circuit_id, count(*)::int edge_count, round(sum({_COS('m')}*x-{_SIN('m')}*y),4)+0.0::double sum_x, round(sum({_SIN('m')}*x+{_COS('m')}*y),4)+0.0::double sum_y, round(sum(z),4)+0.0::double sum_z, (sum(k)%4)=0 closes from c group by 1"))
 def circuit_burgers(spark: SparkSession, d: str) -> DataFrame:
-    """A20"""
-    eye = F.array(*(F.lit(1.0 if i % 4 == 0 else 0.0) for i in range(9)))
-    e = V.line_points(spark, d).select("frame_id", F.col("segment_id").alias("circuit_id"), "seq", F.array("x", "y", "z").alias("cv"), eye.alias("rtm"), (F.col("core") % 2 == 0).alias("is_self"))
+    """A20: transitions turn by core quarters about z"""
+    e = V.line_points(spark, d).select("frame_id", F.col("segment_id").alias("circuit_id"), "seq", F.array("x", "y", "z").alias("cv"), F.array(*quarter_turn(F.col("core"))).alias("rtm"), (F.col("core") % 2 == 0).alias("is_self"))
     f = network.fold_circuit(e)
     return f.select("circuit_id", "edge_count", *((F.round(F.get("b", F.lit(i)), 4) + 0.0).alias(f"sum_{a}") for i, a in enumerate("xyz")), "closes")

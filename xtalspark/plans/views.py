@@ -129,7 +129,7 @@ def with_views(names: str, body: str, recursive: bool = False) -> str:
         wanted |= {n, *NEEDS.get(n, [])}
         for m in NEEDS.get(n, []):
             wanted |= set(NEEDS.get(m, []))
-    parts = [f"{n} as ({SQL[n]})" for n in ORDER if n in wanted]
+    parts = [f"{n} as materialized ({SQL[n]})" for n in ORDER if n in wanted]
     body = body.strip()
     if body.startswith("with "):
         parts.append(body[5:])

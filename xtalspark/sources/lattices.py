@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "name string, coordination int, nv array<array<double>>"
+# Names of structure types by number, in the order of polyhedral template matching.
+STRUCTURES = ("other", "fcc", "hcp", "bcc", "ico", "sc", "cubic_diamond", "hex_diamond", "graphene")
 _S = 3**0.5
 _signs = lambda v: sorted({tuple(s * x + 0.0 for s, x in zip(t, v)) for t in itertools.product((1, -1), repeat=3)})
 _turns = lambda v: sorted({p for q in _signs(v) for p in itertools.permutations(q)})

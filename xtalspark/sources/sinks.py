@@ -16,14 +16,17 @@ def write(df: DataFrame, base: str, name: str, partition: list[str] | None = Non
 
 
 def dislocations(lines: DataFrame, base: str) -> dict[str, str]:
-    """Lines with attributes, and the listings made of them."""
+    """Lines with attributes, the listings made of them and two chart series, counts and lengths by Burgers vector."""
     from ..operators.lines import line_totals
 
     totals = line_totals(lines.select("frame_id", "length", F.col("num_points").alias("n_points")))
+    burgers = network.burgers_summary(lines)
     return {
         "lines": write(lines, base, "dislocations"),
         "summary": write(totals, base, "dislocation_summary"),
-        "burgers": write(network.burgers_summary(lines), base, "burgers_summary"),
+        "burgers": write(burgers, base, "burgers_summary"),
+        "burgers_counts": write(burgers.select("frame_id", "burgers_vector", F.col("n_lines").alias("segment_count")), base, "chart_burgers_counts"),
+        "burgers_lengths": write(burgers.select("frame_id", "burgers_vector", "total_length"), base, "chart_burgers_lengths"),
         "families": write(network.family_summary(lines), base, "family_summary"),
     }
 
@@ -39,12 +42,17 @@ def network_reports(segments: DataFrame, nodes: DataFrame, boxes: DataFrame, bas
     return out
 
 
-def mesh_tables(points: DataFrame, facets: DataFrame, base: str, name: str) -> dict[str, str]:
-    """Points, facets and the Euler characteristic of a mesh."""
+def mesh_tables(points: DataFrame, facets: DataFrame, base: str, name: str, faces: DataFrame, cells: DataFrame, flags: DataFrame) -> dict[str, str]:
+    """Points and facets of a mesh as exported, their totals and the cell by frame, the Euler
+    characteristic of the faces before unwrapping, and flags (frame_id, ...)."""
+    n = points.groupBy("frame_id").agg(F.count("*").alias("total_nodes")).join(facets.groupBy("frame_id").agg(F.count("*").alias("total_facets")), "frame_id", "left")
+    topology = tess.euler_characteristic(faces).select("frame_id", F.col("euler").alias("euler_characteristic"))
     return {
-        "points": write(points, base, f"{name}_points"),
-        "facets": write(facets, base, f"{name}_facets"),
-        "topology": write(tess.euler_characteristic(facets), base, f"{name}_topology"),
+        f"{name}_points": write(points, base, f"{name}_points"),
+        f"{name}_facets": write(facets, base, f"{name}_facets"),
+        f"{name}_totals": write(n, base, f"{name}_totals"),
+        f"{name}_cell": write(cells.select("frame_id", "matrix", "origin", "pbc"), base, f"{name}_cell"),
+        f"{name}_topology": write(flags.join(topology, "frame_id", "left"), base, f"{name}_topology"),
     }
 
 

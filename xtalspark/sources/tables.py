@@ -27,9 +27,16 @@ def neighbor_rows(lists: DataFrame) -> DataFrame:
     return lists.select("frame_id", "atom_idx", F.posexplode("neighbors").alias("slot", "n")).select("frame_id", "atom_idx", "slot", "n.nbr_idx", "n.lv")
 
 
+def canonical_clusters(clusters: DataFrame, lattices: DataFrame) -> DataFrame:
+    """Clusters with topology names in the catalogue's spelling where it has them."""
+    known = lattices.select(F.lower("name").alias("__k"), F.col("name").alias("__n"))
+    named = clusters.join(known, F.lower(F.trim("topology_name")) == F.col("__k"), "left")
+    return named.withColumn("topology_name", F.coalesce("__n", "topology_name")).drop("__k", "__n")
+
+
 def reconstruct(atoms: DataFrame, clusters: DataFrame, neighbors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Atoms with the structure and topology of their cluster (cluster 0 where it is not
-    known), and (frame_id, max_distance): the longest neighbour bond in space."""
+    known), and the neighbour pairs with both positions, as max_neighbor_distance takes them."""
     c = clusters.select("frame_id", "cluster_id", F.col("structure").alias("__s"), "topology_name")
     known = atoms.withColumn("cluster_id", F.coalesce("cluster_id", F.lit(0))).join(c, ["frame_id", "cluster_id"], "left")
     full = known.withColumn("cluster_id", F.when(F.col("__s").isNull(), 0).otherwise(F.col("cluster_id"))).withColumn("structure_type", F.coalesce("structure_type", "__s", F.lit(0))).drop("__s")
