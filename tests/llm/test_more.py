@@ -274,6 +274,7 @@ def test_equal_pieces_are_sorted_once():
     base = [bytes(rng.choice(b"ab") for _ in range(140)) for _ in range(4)]
     parts = [base[rng.randrange(4)] for _ in range(30)]
     keys, firsts = np.array([rng.randrange(8) for _ in parts]), np.array([1000 * i for i in range(30)])
+    parts, keys, firsts = parts + parts[:5], np.append(keys, keys[:5]), np.append(firsts, firsts[:5])  # repeated rows
 
     def starts(found):
         return {(k, s) for k, a, b in zip(*(x.tolist() for x in found)) for s in range(a, b + 1)}

@@ -269,7 +269,10 @@ def distinct_repeats(keys: np.ndarray, firsts: np.ndarray, pieces: list[bytes])
     code = np.fromiter((codes.setdefault(p, len(codes)) for p in pieces), np.int64, len(pieces))
     order = np.lexsort((firsts, keys, code))
     head = np.append(True, code[order][1:] != code[order][:-1])
-    lead, later = order[head], order[~head]
+    lead = order[head]
+    of = lead[np.cumsum(head) - 1]
+    # A row that comes twice has its pieces twice: the same place is no repeat.
+    later = order[(keys[order] != keys[of]) | (firsts[order] != firsts[of])]
     k, a, b = block_repeats(keys[lead], firsts[lead], [pieces[i] for i in lead.tolist()])
     ends = firsts[later] + np.fromiter((len(pieces[i]) for i in later.tolist()), np.int64, len(later)) - LENGTH
     return np.append(k, keys[later]), np.append(a, firsts[later]), np.append(b, ends)
