@@ -82,6 +82,35 @@ def test_box_totals_make_no_pairs(spark, monkeypatch):
     assert sorted(tuple(r) for r in boxes.cell_box_totals(cells, vertices, 1.0).collect()) == [(1, 0, 5, 10, 4), (2, 0, 6, 51, 11)]
 
 
+def test_box_totals_sweep_over_few_coordinates(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    for n, grid, m, gaps in ((500, 9, 300, 1), (5000, (40, 7, 9), 500, 3), (3000, (2000, 50, 3), 300, 1), (2000, (30, 1, 40), 3000, 2), (1, 3, 5, 1)):
+        at, ids = rng.integers(0, grid, (n, 3)).astype(float), rng.permutation(gaps * n)[:n] + 5
+        rows = [(f, int(i), *map(float, p)) for i, p in zip(ids, at) for f in (0, 1) if f == 0 or i % 2]
+        spark.createDataFrame(rows, "frame_id bigint, v bigint, x double, y double, z double").write.parquet(uri := f"file://{tmp_path}/{n}")
+        points = boxes.Grid.read(uri, 0, 1.0)
+        pick = rng.integers(0, n, (m, 4))
+        pick[m // 2 :, 1:] = pick[m // 2 :, :1]
+        corners = ids[pick]
+        corners[0, 0] = 10**7
+        known, ends = points.boxes(corners)
+        assert known.tolist() == [False] + [True] * (m - 1)
+        for i, told in zip(range(1, m), zip(*points.totals(ends), strict=True), strict=True):
+            lo, hi = at[pick[i]].min(0), at[pick[i]].max(0)
+            hit = ids[((lo <= at + 1) & (at - 1 <= hi)).all(1)]
+            assert told == (len(hit), hit.sum(), hit.max())
+    # What is held for each point, besides what hangs on the number of ranks, is 8 bytes where ids have no gaps.
+    held = boxes.Grid.read(f"file://{tmp_path}/500", 0, 1.0)
+    assert held.ids is None and held.order.nbytes + held.x.nbytes + held.p.nbytes == 8 * 500
+    assert boxes.Grid.work(1 << 16, 1 << 16, 1 << 16) > boxes.WORK and boxes.Grid.read(uri, 7, 1.0) is None
+
+
+def test_tets_are_dealt_once(spark, few_orders):
+    plan = views.tets(spark, few_orders)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert any("__range" in x for x in dealt) and not any("v0" in x for x in dealt)
+
+
 def test_reachability_starts_from_every_vertex(spark, few_orders):
     near = {}
     for r in views.edges(spark, few_orders).collect():

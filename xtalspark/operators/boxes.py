@@ -1,9 +1,15 @@
 """Sums over the points whose cubes meet a box, without making the pairs.
 
 Coordinates become ranks among the frame's distinct ones, a box a range of ranks on each
-axis. Its range on x is cut into dyadic blocks; in a level's blocks, points are sorted by y,
-and a wavelet matrix over z counts and sums those of a range. So a box costs a product of
-logarithms of the number of distinct coordinates, and the points are read, not moved.
+axis. The points are read, not moved, in one of two ways:
+
+Where two axes have few distinct pairs of ranks (Grid), a sweep along the third keeps the
+number and sum at each pair, and prefix sums of them along the levels of a wavelet matrix
+over the pairs, anew at each rank of that axis: a box costs a logarithm at both its ends.
+
+Else (Points) the range on x is cut into dyadic blocks; in a level's blocks, points are
+sorted by y, and a wavelet matrix over z counts and sums those of a range: a box costs a
+product of logarithms of the number of distinct coordinates.
 """
 
 from __future__ import annotations
@@ -15,13 +21,188 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import frame_rows, store
+from .shared import frame_batches, frame_rows, store
 
 # Boxes worked on at once, first points (by falling id) tried one by one, points in a leaf, entries of a table.
 CHUNK = 450_000
 TRIED = 4096
 LEAF = 32
 TABLE = 1 << 22
+# Of a sweep: boxes held, boxes whose largest ids are sought at once, ranks on an axis and pairs of ranks, sums made in all.
+SWEPT = 2_000_000
+SLICE = 250_000
+RANKS = (1 << 16) - 1
+WORK = 6_000_000_000
+
+
+class Grid:
+    """A frame's points by the rank on one axis and the pair of ranks on the other two.
+
+    ids rise, or are left out where they are the numbers from base on. A number and a sum are
+    the parts of one complex number, exact below 2^53.
+    """
+
+    def __init__(self, values: list[np.ndarray], sweep: int, pairs: np.ndarray, base: int, ids: np.ndarray | None, x: np.ndarray, p: np.ndarray, reach: float):
+        self.base, self.ids, self.x, self.p = base, ids, x, p
+        self.axes = [sweep, *(k for k in range(3) if k != sweep)]
+        # The range of ranks for a box that begins or ends at a rank.
+        self.lowest = [np.searchsorted(v + reach, v, "left").astype(np.uint16) for v in values]
+        self.highest = [np.searchsorted(v - reach, v, "right").astype(np.uint16) for v in values]
+        self.sizes = [len(values[k]) for k in self.axes]
+        self.y, self.z = ((r).astype(np.uint16) for r in np.divmod(pairs, self.sizes[2]))
+        self.order = np.argsort(x, kind="stable").astype(np.int32)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(x, minlength=self.sizes[0]))])
+        self.rows = np.searchsorted(self.y, np.arange(self.sizes[1] + 1))  # of the pairs from a rank of y on
+        self._levels()
+
+    @classmethod
+    def read(cls, uri: str, frame: int, reach: float) -> Grid | None:
+        """The frame's points, v and coordinates, of a stored table; None if they are too many or too different."""
+        n, least, most, values = 0, np.iinfo(np.int64).max, np.iinfo(np.int64).min, [np.empty(0)] * 3
+        for v, *at in frame_batches(uri, frame, "v", "x", "y", "z"):
+            n, least, most = n + len(v), min(least, v.min()), max(most, v.max())
+            values = [np.union1d(u, a) for u, a in zip(values, at)]
+            if max(map(len, values)) > RANKS:
+                return None
+        if n == 0 or n >= 1 << 31 or n * max(abs(int(least)), abs(int(most))) >= 1 << 53:
+            return None
+        others = [[k for k in range(3) if k != sweep] for sweep in range(3)]
+        pairs: dict[int, np.ndarray] = {s: np.empty(0, np.int64) for s in range(3)}
+        ranks = lambda at: [np.searchsorted(u, a) for u, a in zip(values, at)]
+        key = lambda r, s: r[others[s][0]] * len(values[others[s][1]]) + r[others[s][1]]
+        for at in frame_batches(uri, frame, "x", "y", "z"):
+            r = ranks(at)
+            pairs = {s: u for s, p in pairs.items() if len(u := np.union1d(p, key(r, s))) <= RANKS and cls.work(len(values[s]), len(u), len(values[others[s][1]])) <= WORK}
+        if not pairs:
+            return None
+        sweep = min(pairs, key=lambda s: cls.work(len(values[s]), len(pairs[s]), len(values[others[s][1]])))
+        x, p, at = np.empty(n, np.uint16), np.empty(n, np.uint16), 0
+        ids = None if most - least == n - 1 else np.empty(n, np.int64)
+        seen = np.zeros(n if ids is None else 0, bool)
+        for v, *c in frame_batches(uri, frame, "v", "x", "y", "z"):
+            r = ranks(c)
+            if ids is None:
+                place = v - least
+                seen[place] = True
+            else:
+                place = slice(at, at := at + len(v))
+                ids[place] = v
+            x[place], p[place] = r[sweep], np.searchsorted(pairs[sweep], key(r, sweep))
+        if not seen.all():
+            return None
+        if ids is not None:
+            by = np.argsort(ids, kind="stable")
+            ids, x, p = ids[by], x[by], p[by]
+        return cls(values, sweep, pairs[sweep], int(least), ids, x, p, reach)
+
+    @staticmethod
+    def digits(size: int) -> int:
+        """Digits of two bits of the numbers up to size."""
+        return (size.bit_length() + 1) // 2
+
+    @classmethod
+    def work(cls, steps: int, pairs: int, size: int) -> int:
+        return steps * pairs * 3 * cls.digits(size)
+
+    def _levels(self) -> None:
+        """Of each level of digits of z: where a place among the pairs (by y at first) leads for each digit, and
+        of the pairs before it those of a smaller digit."""
+        m, depth = len(self.y), self.digits(self.sizes[2])
+        self.shifts, order = [2 * (depth - 1 - t) for t in range(depth)], np.arange(m)
+        self.next, self.smaller = np.zeros((depth, 4, m + 1), np.int64), np.full((depth, 3, m), m, np.int64)
+        for t, shift in enumerate(self.shifts):
+            digit, before = (self.z[order] >> shift) & 3, 0
+            for d in range(4):
+                self.next[t, d, 1:] = np.cumsum(digit == d)
+                self.next[t, d] += before
+                before = self.next[t, d, -1]
+            for d in range(3):
+                self.smaller[t, d] = np.where(digit <= d, order, m)
+            order = order[np.argsort(digit, kind="stable")]
+
+    def boxes(self, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(known, ranges): for corners (m, 4) the rows of known points, and the first and last ranks
+        on each axis (6, known)."""
+        if self.ids is None:
+            place = corners - self.base
+            known = ((place >= 0) & (place < len(self.x))).all(1)
+        else:
+            place = np.minimum(np.searchsorted(self.ids, corners), len(self.ids) - 1)
+            known = (self.ids[place] == corners).all(1)
+        place = place[known]
+        p = self.p[place]
+        ends = []
+        for k, r in zip(self.axes, (self.x[place], self.y[p], self.z[p])):
+            ends += [self.lowest[k][r.min(1)], self.highest[k][r.max(1)]]
+        return known, np.stack(ends) if len(place) else np.empty((6, 0), np.uint16)
+
+    def number(self, place: np.ndarray) -> np.ndarray:
+        return place + self.base if self.ids is None else self.ids[place]
+
+    def totals(self, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number, sum and largest of the ids in the ranges; the largest only where there are some."""
+        sums = self._sums(ends)
+        n, total, best = sums.real.astype(np.int64), sums.imag.astype(np.int64), np.zeros(len(sums), np.int64)
+        del sums
+        for i in range(0, len(n), SLICE):
+            part = slice(i, i + SLICE)
+            best[part] = self._largest(ends[:, part], n[part] > 0)
+        return n, total, best
+
+    def _sums(self, ends: np.ndarray) -> np.ndarray:
+        out, m, depth = np.zeros(ends.shape[1], np.complex128), len(self.y), len(self.shifts)
+        weights, sums, parts = np.zeros(m + 1, np.complex128), np.zeros((depth, 4, m + 1), np.complex128), np.empty((depth, 3, m), np.complex128)
+        flat, ways, width, done = sums.reshape(depth, -1), self.next.reshape(depth, -1), np.int64(m + 1), 0
+        sides = [(np.argsort(e, kind="stable").astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(e, minlength=self.sizes[0] + 1))]), sign) for e, sign in ((ends[0], -1), (ends[1], 1))]
+        for at in range(1, self.sizes[0] + 1):
+            asked = [(order[starts[at] : starts[at + 1]], sign) for order, starts, sign in sides]
+            if not any(len(q) for q, _ in asked):
+                continue
+            come = self.order[self.starts[done] : self.starts[at]]
+            to, done = self.p[come], at
+            weights[:m] += np.bincount(to, minlength=m) + 1j * np.bincount(to, self.number(come.astype(np.int64)).astype(float), m)
+            np.take(weights, self.smaller, out=parts)
+            np.cumsum(parts, axis=-1, out=sums[:, 1:, 1:])
+            for q, sign in asked:
+                for q in np.array_split(q, 1 + len(q) // 100_000):
+                    zs = ends[4:, q].astype(np.int64)[:, None]
+                    place = np.repeat(self.rows[ends[2:4, q]][None], 2, 0)
+                    total = np.zeros(place.shape, np.complex128)
+                    for t, shift in enumerate(self.shifts):
+                        place += ((zs >> shift) & 3) * width
+                        total += flat[t].take(place)
+                        place = ways[t].take(place)
+                    out[q] += sign * (total[1, 1] - total[1, 0] - total[0, 1] + total[0, 0])
+        return out
+
+    def _largest(self, ends: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """The largest id in each range that has some: points are tried by falling id, one against all open
+        ranges, then many against the few left."""
+        best, rest = np.zeros(ends.shape[1], np.int64), np.flatnonzero(some)
+        own, at, n = np.ascontiguousarray(ends[:, rest]), 0, len(self.x)
+        while len(rest) > 1000 and at < n:
+            place = np.arange(n - 1 - at, max(n - 17 - at, -1), -1)
+            p, open_ = self.p[place], np.ones(len(rest), bool)
+            for v, r in zip(self.number(place), np.stack([self.x[place], self.y[p], self.z[p]], 1)):
+                hit = open_.copy()
+                for k in range(3):
+                    hit &= own[2 * k] <= r[k]
+                    hit &= own[2 * k + 1] > r[k]
+                best[rest[hit]] = v
+                open_ &= ~hit
+            rest, own, at = rest[open_], own[:, open_], at + len(place)
+        for i in rest:
+            b, to = ends[:, i], n - at
+            while to > 0:
+                span = slice(max(0, to - (1 << 16)), to)
+                p = self.p[span]
+                y, z, x = self.y[p], self.z[p], self.x[span]
+                hit = (x >= b[0]) & (x < b[1]) & (y >= b[2]) & (y < b[3]) & (z >= b[4]) & (z < b[5])
+                if hit.any():
+                    best[i] = self.number(span.start + np.flatnonzero(hit)[-1])
+                    break
+                to = span.start
+        return best
 
 
 class Points:
@@ -152,28 +333,56 @@ def cell_box_totals(cells: DataFrame, vertices: DataFrame, reach: float, key: st
     """
     rows = vertices.select("frame_id", F.col(key).cast("bigint").alias("v"), "x", "y", "z").dropna()
     uri = store(rows)
+    names = ["frame_id", "cell", "n", "total", "last"]
+
+    def told(f: int, cell: np.ndarray, *sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+        some = np.flatnonzero(sums[0] > 0)
+        for i in range(0, len(some), 100_000):
+            part = some[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), f)), *(pa.array(x[part]) for x in (cell, *sums))], names)
+
+    def by_points(f: int, t: pa.Table, kept: dict) -> Iterator[pa.RecordBatch]:
+        if "points" not in kept:
+            p = frame_rows(uri, f, "v", "x", "y", "z")
+            v, at = p["v"].to_numpy(), np.stack([p[a].to_numpy() for a in "xyz"], 1)
+            by = np.argsort(v)
+            kept["points"] = v[by], at[by], Points(v, at, reach) if len(v) else None
+        v, at, points = kept["points"]
+        if points is None:
+            return
+        corners = np.stack([t[f"v{i}"].to_numpy() for i in range(4)], 1)
+        place = np.minimum(np.searchsorted(v, corners), len(v) - 1)
+        known = (v[place] == corners).all(1)
+        p, cell = at[place[known]], t["cell"].to_numpy()[known]
+        yield from told(f, cell, *points.totals(p.min(1), p.max(1)))
+
+    def swept(kept: dict) -> Iterator[pa.RecordBatch]:
+        if kept.get("held"):
+            n, kept["held"] = kept["held"], 0
+            yield from told(kept["frame"], kept["cell"][:n], *kept["grid"].totals(kept["ends"][:, :n]))
 
     def flush(batches: list[pa.RecordBatch], kept: dict) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches)
         frame = t["frame_id"].to_numpy()
-        for f in np.unique(frame):
-            mine = frame == f
-            if f not in kept:
+        for f in map(int, np.unique(frame)):
+            if kept.get("frame") != f:
+                yield from swept(kept)
                 kept.clear()
-                p = frame_rows(uri, int(f), "v", "x", "y", "z")
-                v, at = p["v"].to_numpy(), np.stack([p[a].to_numpy() for a in "xyz"], 1)
-                by = np.argsort(v)
-                kept[f] = v[by], at[by], Points(v, at, reach) if len(v) else None
-            v, at, points = kept[f]
-            if points is None:
+                kept |= {"frame": f, "grid": Grid.read(uri, f, reach), "held": 0}
+                pa.default_memory_pool().release_unused()
+            own = t if (frame == f).all() else t.filter(pa.array(frame == f))
+            if kept["grid"] is None:
+                yield from by_points(f, own, kept)
                 continue
-            corners = np.stack([t[f"v{i}"].to_numpy()[mine] for i in range(4)], 1)
-            place = np.minimum(np.searchsorted(v, corners), len(v) - 1)
-            known = (v[place] == corners).all(1)
-            p, cell = at[place[known]], t["cell"].to_numpy()[mine][known]
-            n, total, last = points.totals(p.min(1), p.max(1))
-            some = n > 0
-            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (np.full(len(n), f), cell, n, total, last)], ["frame_id", "cell", "n", "total", "last"])
+            known, ends = kept["grid"].boxes(np.stack([own[f"v{i}"].to_numpy() for i in range(4)], 1))
+            if "cell" not in kept or kept["held"] + ends.shape[1] > kept["ends"].shape[1]:
+                yield from swept(kept)
+                # Room for a sweep only where there is more than one chunk.
+                room = max(ends.shape[1], SWEPT) if "cell" in kept or own.num_rows >= CHUNK else ends.shape[1]
+                kept |= {"cell": np.empty(room, np.int64), "ends": np.empty((6, room), np.uint16)}
+            to = slice(kept["held"], kept["held"] + ends.shape[1])
+            kept["cell"][to], kept["ends"][:, to] = own["cell"].to_numpy()[known], ends
+            kept["held"] = to.stop
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, kept = [], 0, {}
@@ -184,8 +393,9 @@ def cell_box_totals(cells: DataFrame, vertices: DataFrame, reach: float, key: st
                 held, n = [], 0
         if n:
             yield from flush(held, kept)
+        yield from swept(kept)
 
     long = cells.select("frame_id", "cell", *(F.col(f"v{i}").cast("bigint").alias(f"v{i}") for i in range(4)))
-    # Few tasks of many cells: each sorts the points of its frame anew.
+    # Few tasks of many cells: each reads the points of its frame anew.
     few = long.coalesce(cells.sparkSession.sparkContext.defaultParallelism)
     return few.mapInArrow(totals, "frame_id bigint, cell bigint, n bigint, total bigint, last bigint")
